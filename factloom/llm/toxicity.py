@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.llm.common import cut, fresh
 
@@ -234,7 +235,7 @@ def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, id_c
     names = docs.columns
     score = fresh(docs, "p_toxic")
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    schema = docs.schema.add(score, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
