@@ -93,11 +93,12 @@ def excluded_delete(spark, d):
 
 @query(f"""WITH {FACTS}, {EVENTS} SELECT doc, ord, from_key, to_key, CASE WHEN action = 'OVERRIDE' AND value > 10 THEN value ELSE qty END AS qty
   FROM facts LEFT JOIN (SELECT * FROM events2 WHERE action <> 'ADD') USING (doc, ord) WHERE action IS DISTINCT FROM 'REJECT'
-  UNION ALL SELECT doc, ord, NULL, NULL, value FROM events2 WHERE action = 'ADD'""")
+  UNION ALL SELECT doc, ord, -1, -1, value FROM events2 WHERE action = 'ADD'""")
 def materialize(spark, d):
     """An override replaces the quantity only if the event holds one (here: over 10)."""
     log = events(spark, d).withColumn("has_value", F.col("value") > 10)
-    return graph.materialize(facts(spark, d).select("doc", "ord", "from_key", "to_key", "qty"), log, ["doc", "ord"], {"qty": "value"})
+    done = graph.materialize(facts(spark, d).select("doc", "ord", "from_key", "to_key", "qty"), log, ["doc", "ord"], {"qty": "value"})
+    return done.fillna(-1, ["from_key", "to_key"])
 
 
 @query(f"""WITH {FACTS}, {EVENTS} SELECT doc, ord, coalesce(action, 'ACCEPT') AS status, CASE WHEN action = 'OVERRIDE' THEN 'green' ELSE color END AS color
