@@ -72,7 +72,7 @@ def test_differencing_is_a_partition():
 def test_mixing(spark, odd, none):
     got = mixing.mix(odd).toPandas()
     assert len(got) == len(ODD) and (got.taken <= 2 * got["size"]).all()
-    assert got.taken.sum() == round(1.5 * got["size"].sum())
+    assert abs(got.taken.sum() - 1.5 * got["size"].sum()) <= 2  # each source is rounded on its own
     assert mixing.mix(none).count() == 0
     whole = mixing.mixed_documents(odd)
     assert whole.columns == odd.columns and whole.where("doc_id = 4").count() == 1
