@@ -106,7 +106,7 @@ def _count(order: int):
                 words.update(found)
                 docs.append(b" ".join(found))
                 size += len(docs[-1])
-                if size > 4_000_000:
+                if size > 1_000_000:
                     flush()
                     size = 0
             if docs:
@@ -300,7 +300,7 @@ def _score(shared):
                 rows.append((i, held, len(found) + 1, len(found) - len(head.aside), total, len(rest), list(rest), list(rest.values())))
                 docs.append(b" ".join(found))
                 kept += len(docs[-1])
-                if kept > 4_000_000:
+                if kept > 1_000_000:
                     done = out()
                     row += done.num_rows
                     kept = 0
