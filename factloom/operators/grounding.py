@@ -77,8 +77,10 @@ def candidates(quotes: DataFrame, docs: DataFrame, few: int = 10_000) -> DataFra
 
 def ground(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """quote_id, doc_id, start, end, evidence of every quote located in any document."""
-    pairs = candidates(quotes, docs).join(docs.select("doc_id", "text"), "doc_id").join(quotes, "quote_id")
-    lined = pairs.withColumn("line", joined(F.col("text"))).withColumn("way", way(F.col("quote"), F.col("line"))).where("way IS NOT NULL")
+    # A document's words are joined once, on its side of the join, not once for each pair.
+    lines = docs.select("doc_id", "text", joined(F.col("text")).alias("line"))
+    pairs = candidates(quotes, docs).join(lines, "doc_id").join(quotes, "quote_id")
+    lined = pairs.withColumn("way", way(F.col("quote"), F.col("line"))).where("way IS NOT NULL")
     found = lined.withColumn("span", span_of(F.col("text"), F.col("line"), F.col("way")))
     return found.select("quote_id", "doc_id", F.col("span.start").alias("start"), F.col("span.end").alias("end"), reanchor(F.col("text"), F.col("span")).alias("evidence"))
 
