@@ -16,11 +16,14 @@ Links of wide fingerprints, by similarity. No chain of a wide radius is selectiv
 alone; chains of consecutive equal segments are taken as keys at many places (each
 20 bits of 5 segments), and pairs that meet must pass the pigeonring of the sketch:
 some start whose chains stay within their share of the radius. A pair at the least
-similarity meets with probability over 0.9, at 0.85 over 0.98 (see README).
+similarity meets with probability over 0.9, at 0.85 over 0.98 (see README). Pairs
+whose sketches are very close are links; of the others, those between different
+components of these are held against the texts: the Jaccard similarity of their
+sets of shingles decides.
 
-Equal fingerprints are one node, so copies never meet as pairs. Under a key rows are
-streamed in sorted order, a block against a block, and only a spanning forest of the
-links is given out.
+Equal fingerprints are one node, so copies never meet as pairs. Rows come sorted by
+key, and of a key's links only a minimum spanning forest is given out, which connects
+what the links within any smaller radius connect.
 
 Defined results: null and empty texts have no shingles and fingerprint zero; a text of
 fewer words than a shingle is one shingle; null ids never are a component's id unless
@@ -43,14 +46,15 @@ from factloom.llm.lm_scoring import tokens
 
 SHINGLE = 3
 RADIUS = 3
-#: Pairs compared at once.
-BLOCK = 2048
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float32)
 #: The two segments of the next three that are equal.
 CHOICES = ((2, 3), (2, 4), (3, 4))
 
-#: The pipeline's: words a shingle, words of 64 bits, keys of so many bits, words of the sketch, bits in which it may differ.
-WIDE = {"shingle": 5, "words": 20, "key_bits": 20, "sketch": 4, "radius": 48}
+#: The pipeline's: words a shingle, words of 64 bits, keys of so many bits, words of the sketch, bits in which it may
+#: differ, bits up to which the texts needn't be compared, least similarity. Of 256 bits, 39 (deviation 6) differ at 0.8.
+WIDE = {"shingle": 5, "words": 20, "key_bits": 20, "sketch": 4, "radius": 56, "sure": 20, "least": 0.8}
+#: Ids (of documents to compare) that may be broadcast; more are joined by merging.
+BROADCAST_IDS = 500_000
 
 
 def shingle_hashes(words: list[bytes], k: int) -> list[int]:
@@ -87,8 +91,8 @@ def _mixed(h: np.ndarray, w: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, words: int = 1) -> DataFrame:
-    """(doc_id, fp binary of 8 * words bytes, little-endian words), one row per row of docs."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, words: int = 1, repeats: bool = True) -> DataFrame:
+    """(doc_id, fp binary of 8 * words bytes, little-endian words), one row per row of docs; shingles count as often as they occur, or once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,6 +110,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHI
 
             for i, text in enumerate(texts):
                 found = shingle_hashes(tokens(text.as_py() or b""), shingle)
+                found = found if repeats else list(set(found))
                 hashes += found
                 lengths.append(len(found))
                 if len(hashes) > 400_000 or len(lengths) >= 4000:
@@ -132,54 +137,51 @@ def ring_ok(differ: np.ndarray, bits: int, radius: int) -> np.ndarray:
     return ok
 
 
+def segments(x: np.ndarray) -> np.ndarray:
+    """Differing bits by segment of the ring: 8 bits wide for one word, 16 for more."""
+    wide = np.uint8 if x.shape[1] == 1 else np.uint16
+    return np.bitwise_count(np.ascontiguousarray(x).view(wide).reshape(len(x), -1)).astype(np.int16)
+
+
 def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Which pairs of fingerprints (rows of uint64 words) are within radius: chains first, then all bits."""
-    differ = np.bitwise_count(a ^ b)
-    if a.shape[1] == 1:
-        parts = np.bitwise_count((a ^ b).view(np.uint8).reshape(-1, 8)).astype(np.int64)
-    else:
-        parts = np.bitwise_count((a ^ b).view(np.uint16).reshape(len(a), -1)).astype(np.int64)
+    """Which pairs of fingerprints (rows of uint64 words) are within radius: all chains first, then all bits."""
+    parts = segments(a ^ b)
     out = np.zeros(len(a), bool)
-    left = np.flatnonzero(differ.sum(axis=1) <= 2 * radius)  # far pairs fail the chains at once
-    left = left[ring_ok(parts[left], a.shape[1] * 64, radius)]
-    out[left] = differ[left].sum(axis=1) <= radius
+    left = np.flatnonzero(pair_ok(parts, radius))
+    left = left[ring_ok(parts[left].astype(np.int64), a.shape[1] * 64, radius)]
+    out[left] = parts[left].sum(axis=1) <= radius
     return out
 
 
-def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among fps: block against block, links that join two trees only."""
-    n = len(fps)
-    root = np.arange(n)
-    found = []
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for lo in range(0, n, BLOCK):
-        left = fps[lo : lo + BLOCK]
-        for at in range(lo, n, BLOCK):
-            right = fps[at : at + BLOCK]
-            for i in range(len(left)):
-                begin = i + 1 if at == lo else 0
-                if begin >= len(right):
-                    continue
-                far = np.bitwise_count(left[i] ^ right[begin:]).sum(axis=1)
-                hits = np.flatnonzero(far <= radius) + begin
-                if len(hits):
-                    hits = hits[near(np.repeat(left[i : i + 1], len(hits), axis=0), right[hits], radius)]
-                for j in hits:
-                    a, b = top(lo + i), top(at + j)
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-                        found.append((lo + i, at + j))
+def pair_ok(differ: np.ndarray, radius: int) -> np.ndarray:
+    """The chains of one and of two segments only."""
+    m = differ.shape[1]
+    return ((differ * m <= radius) & ((differ + np.roll(differ, -1, axis=1)) * m <= 2 * radius)).any(axis=1)
+
+
+def spanning(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A minimum spanning forest of the links among fps (Prim), in memory that grows with their number only."""
+    best = np.full(len(fps), radius + 1)
+    by = np.zeros(len(fps), np.int64)
+    left = np.arange(1, len(fps))
+    at, found = 0, []
+    while len(left):
+        parts = segments(fps[left] ^ fps[at])
+        hits = np.flatnonzero(pair_ok(parts, radius))
+        bits = parts[hits].sum(axis=1)
+        closer = bits < best[left[hits]]
+        hits = left[hits[closer]]
+        best[hits], by[hits] = bits[closer], at
+        pick = int(np.argmin(best[left]))
+        at = int(left[pick])
+        if best[at] <= radius:
+            found.append((int(by[at]), at))
+        left = np.delete(left, pick)
     return found
 
 
 def _meet(radius: int, sketch: int):
-    """Streams rows (key, node, fp) sorted by key; gives links (a, b) of nodes that meet under a key."""
+    """Streams rows (key, node, fp) sorted by key; gives links (a, b, bits that differ) of nodes that meet under a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.zeros(0, np.int64)
@@ -191,12 +193,14 @@ def _meet(radius: int, sketch: int):
             size = np.diff(np.r_[first, len(keys)])
             pairs = first[size == 2]
             pairs = pairs[near(fps[pairs], fps[pairs + 1], radius)] if len(pairs) else pairs
-            a, b = [nodes[pairs]], [nodes[pairs + 1]] if len(pairs) else [nodes[pairs]]
+            a, b = [pairs], [pairs + 1]
             for start, n in zip(first[size > 2], size[size > 2], strict=True):
-                for i, j in _forest(fps[start : start + n], radius):
-                    a.append(nodes[start + i : start + i + 1])
-                    b.append(nodes[start + j : start + j + 1])
-            return pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                found = np.array(spanning(fps[start : start + n], radius), np.int64).reshape(-1, 2) + start
+                a.append(found[:, 0])
+                b.append(found[:, 1])
+            i, j = np.concatenate(a), np.concatenate(b)
+            bits = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1).astype(np.int32)
+            return pa.record_batch([pa.array(nodes[i]), pa.array(nodes[j]), pa.array(bits)], ["a", "b", "bits"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -245,7 +249,7 @@ def _linked(rows: DataFrame, radius: int, sketch: int) -> DataFrame:
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "node")
-    return dealt.select("key", "node", "fp").mapInArrow(_meet(radius, sketch), "a long, b long")
+    return dealt.select("key", "node", "fp").mapInArrow(_meet(radius, sketch), "a long, b long, bits int")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -264,11 +268,39 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("doc_id", "fingerprint", "component_id")
 
 
+def similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """The rows of pairs (a, b and more) whose documents' sets of shingles have a Jaccard similarity of at least ``least``."""
+    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    few = wanted.count() <= BROADCAST_IDS
+    text = F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
+    texts = cut(texts.join(F.broadcast(wanted) if few else wanted.hint("merge"), "id", "left_semi"))
+    both = pairs
+    for end in ("a", "b"):
+        both = both.join(texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")).hint("merge"), end)
+    others = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, set()
+        for batch in batches:
+            ok = []
+            for a, b in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
+                a = a.as_py()
+                if a != last:
+                    last, own = a, set(shingle_hashes(tokens(a), shingle))
+                other = set(shingle_hashes(tokens(b.as_py()), shingle))
+                common = len(own & other)
+                ok.append(common >= least * (len(own) + len(other) - common))
+            yield batch.select(others).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(run, pairs.schema).distinct()
+
+
 def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: dict | None = None) -> DataFrame:
     """One row per row of docs: node (the least id of its fingerprint), component_id; for similarities over a wide radius."""
     how = WIDE | (how or {})
     words, width, sketch = how["words"], how["key_bits"], how["sketch"]
-    rows = cut(fingerprints(docs, id_col, text_col, how["shingle"], words))
+    rows = cut(fingerprints(docs, id_col, text_col, how["shingle"], words, repeats=False))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
     digits, tables = F.hex("fp"), words * 64 // width
     # Hex digits are the 4-bit segments; a key is a chain of consecutive ones.
@@ -277,8 +309,19 @@ def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = [F.conv(k, 16, 10).cast("long") for k in keys]
     short = F.substring(F.col("fp"), 1, 8 * sketch)
     dealt = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", short.alias("fp"))
-    found = components(cut(_linked(dealt, how["radius"], sketch).distinct()))
-    named = nodes.join(found, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("component_id"))
+    found = cut(_linked(dealt, how["radius"], sketch).where("a <> b").distinct())
+    sure = cut(components(found.where(F.col("bits") <= how["sure"])))
+    # What is left to decide: pairs between different components.
+    ends = found.where(F.col("bits") > how["sure"]).select("a", "b")
+    for end in ("a", "b"):
+        ends = ends.join(sure.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    ends = ends.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
+    ends = cut(ends.where("root_a <> root_b"))
+    alike = similar(ends, docs, id_col, text_col, how["shingle"], how["least"])
+    tops = components(alike.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    named = nodes.join(sure, "node", "left").withColumn("root", F.coalesce("root", "node")).join(tops, "root", "left")
+    named = named.select("fp", "node", F.coalesce("top", "root").alias("component_id"))
     return rows.join(cut(named), "fp", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"), "component_id")
 
 

@@ -121,6 +121,53 @@ def test_simhash(spark, odd, none):
     assert simhash.near_dedup(odd).columns == odd.columns
 
 
+def test_spanning_forest_connects_all_links():
+    rng = np.random.default_rng(3)
+    fps = np.repeat(rng.integers(0, 1 << 63, (3, 4), dtype=np.uint64), 30, axis=0)
+    for row in fps:
+        for bit in rng.choice(256, rng.integers(0, 40), replace=False):
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    rng.shuffle(fps)
+    far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+
+    def parts(links, n=len(fps)):
+        root = list(range(n))
+        for a, b in links:
+            old, new = root[a], root[b]
+            root = [new if r == old else r for r in root]
+        return {frozenset(i for i in range(n) if root[i] == r) for r in root}
+
+    found = simhash.spanning(fps, 50)
+    for radius in (20, 35, 50):  # connected within every radius, as the forest is a minimum
+        assert parts([f for f in found if far[f] <= radius]) == parts(list(zip(*np.nonzero(far <= radius), strict=True)))
+
+
+def test_near_dedup_by_similarity(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(60):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 300)]
+        texts.append(" ".join(words))
+        for changes in (1, 4, 10, 14, 25):  # similarities of about 0.97, 0.88, 0.72, 0.63, 0.43
+            other = list(words)
+            for at in rng.choice(300, changes, replace=False):
+                other[at] = "x"
+            texts.append(" ".join(other))
+    line = "one line that is repeated in both of these texts and nowhere else "
+    texts += [line * 200 + " ".join(f"{side}{k}" for k in range(200)) for side in "ab"] + ["", " ", None, "tiny", "Tiny", "other"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = [set(simhash.shingle_hashes(lm_scoring.tokens((t or "").encode()), 5)) for t in texts]
+    alike = [[j for j in range(len(own)) if own[i] and len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])] for i in range(len(own))]
+    root = {r.doc_id: r.component_id for r in simhash.wide_components(df.where("trim(text) <> ''")).collect()}
+    links = [(i, j) for i in range(len(own)) for j in alike[i] if j < i]
+    assert sum(root[i] == root[j] for i, j in links) >= 0.97 * len(links)
+    for i, top in root.items():  # whoever is in a component is like another in it
+        assert top == i or any(root[j] == top for j in alike[i] if j != i)
+    kept = {r.doc_id for r in simhash.near_dedup(df).collect()}
+    tail = len(texts) - 8
+    assert {tail, tail + 1, tail + 2, tail + 3, tail + 4, tail + 5, tail + 7} <= kept and tail + 6 not in kept
+
+
 def test_ring_keys_lose_no_link(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
