@@ -7,10 +7,12 @@ context predicts a symbol seen n times with weight n - 1/2; what it hasn't seen
 to the next shorter context with half the number of its symbols as weight and, there,
 symbols that it has seen are excluded. After the empty context all 256 byte codes are alike.
 
-As the trie is static, each context's escape and its shorter context's total without
-the excluded symbols are worked out once. A gram is a node if it was seen at least
-total / NODES times, so there are NODES of an order at most, whatever the corpus: that
-bounds what is broadcast. Grams under that weigh in their context's escape.
+Every gram of the training documents is a node. A symbol's probability depends on its
+(ORDER + 1)-gram only, so each distinct gram of all documents is scored once. The trie
+is dealt by the last SHARED bytes of the context: a part has all contexts of SHARED
+bytes and more that end in these, and every part has the shorter ones, whose number the
+alphabet bounds. Grams seen at least total / NODES times (NODES of them at most) are
+broadcast with their scores, the others' scores are joined.
 
 The base score needs every word's count, which has no bound. Words seen at least
 total / HEAD times (HEAD of them at most) are broadcast, the others' counts are joined.
@@ -36,6 +38,9 @@ from factloom.llm.common import cut, scratch
 
 ORDER = 5
 NODES = 1 << 24
+#: Bytes of the context by which the trie is dealt, and distinct grams that a part has on average, at most.
+SHARED = 3
+PART = 1 << 20
 HEAD = 1 << 19
 #: No UTF-8 text has these bytes: the end symbol, and what stands before a text.
 END, PAD = b"\xff", b"\xfe"
@@ -69,48 +74,56 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+COUNTED = "word binary, gram long, n long, times long"
+
+
 def _count(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        #: Distinct grams, how often they are learnt, how often they occur in all.
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys, counts, times = (np.concatenate(x) for x in zip(*held, strict=True))
             by = np.argsort(keys, kind="stable")
-            keys, counts = keys[by], counts[by]
+            keys, counts, times = keys[by], counts[by], times[by]
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            return keys[first], np.add.reduceat(counts, first)
+            return keys[first], np.add.reduceat(counts, first), np.add.reduceat(times, first)
 
         def out_words() -> pa.RecordBatch:
-            found = [pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())]
+            n = len(words)
+            found = [pa.array(list(words), pa.binary()), pa.nulls(n, pa.int64()), pa.array(list(words.values()), pa.int64()), pa.nulls(n, pa.int64())]
             words.clear()
-            return pa.record_batch(found, ["word", "gram", "n"])
+            return pa.record_batch(found, ["word", "gram", "n", "times"])
 
         def out_grams() -> pa.RecordBatch:
-            keys, counts = merged()
+            keys, counts, times = merged()
             held.clear()
-            return pa.record_batch([pa.nulls(len(keys), pa.binary()), pa.array(keys.astype(np.int64)), pa.array(counts)], ["word", "gram", "n"])
+            return pa.record_batch([pa.nulls(len(keys), pa.binary()), pa.array(keys.astype(np.int64)), pa.array(counts), pa.array(times)], ["word", "gram", "n", "times"])
 
         for batch in batches:
-            docs: list[bytes] = []
+            docs: dict[bool, list[bytes]] = {True: [], False: []}
             size = 0
 
             def flush() -> None:
-                values = np.sort(grams(docs, order)[0])
-                first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-                held.append((values[first], np.diff(np.r_[first, len(values)])))
-                docs.clear()
-
-            for text in _texts(batch, 0):
+                for learnt, some in docs.items():
+                    if some:
+                        values = np.sort(grams(some, order)[0])
+                        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+                        times = np.diff(np.r_[first, len(values)])
+                        held.append((values[first], times if learnt else np.zeros_like(times), times))
+                        some.clear()
+
+            for learnt, text in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
                 found = tokens(text)
-                words.update(found)
-                docs.append(b" ".join(found))
-                size += len(docs[-1])
+                if learnt:
+                    words.update(found)
+                docs[bool(learnt)].append(b" ".join(found))
+                size += len(docs[bool(learnt)][-1])
                 if size > 1_000_000:
                     flush()
                     size = 0
-            if docs:
-                flush()
+            flush()
             if len(held) > 1:
                 held[:] = [merged()]
             if len(words) > GATHER:
@@ -230,34 +243,58 @@ class Model:
         return np.add.reduceat(self.scores(values), starts)
 
 
-def gather(training: DataFrame, text: str, order: int = ORDER) -> DataFrame:
-    """(word, n) and (gram, n) of the training texts; text is UTF-8 in binary."""
-    counted = training.select(text).mapInArrow(_count(order), "word binary, gram long, n long")
-    return cut(counted.groupBy("word", "gram").agg(F.sum("n").alias("n")))
-
-
-def build(counted: DataFrame, order: int = ORDER, nodes: int = NODES) -> Model:
-    """The model from gather()'s rows; at most nodes grams of each order come to the driver."""
-    full = counted.where("gram IS NOT NULL")
-    cuts = F.array(*[F.struct(F.lit(i).alias("i"), F.col("gram").bitwiseAND(F.lit((1 << (8 * (i + 1))) - 1)).alias("key")) for i in range(order + 1)])
-    every = full.select(F.explode(cuts).alias("k"), "n").groupBy("k.i", "k.key").agg(F.sum("n").alias("n"))
-    every = cut(every)
-    least = max(1, math.ceil((every.where("i = 0").agg(F.sum("n")).first()[0] or 0) / nodes))
-    kept = every.where(F.col("n") >= least)
-    context = F.shiftrightunsigned("key", 8).alias("key")
-    totals = every.select("i", context, "n").groupBy("i", "key").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where(F.col("most") >= least)
-
-    def arrays(df: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-        rows = df.select("i", "key", "n").toArrow()
-        i, key, n = (rows.column(k).to_numpy() for k in range(3))
-        found = []
-        for k in range(order + 1):
-            by = np.flatnonzero(i == k)
-            by = by[np.argsort(key[by])]
-            found.append((key[by].astype(np.uint64), n[by].astype(np.float64)))
-        return found
+def gather(docs: DataFrame, learnt: str, text: str, order: int = ORDER) -> DataFrame:
+    """(word, n) of the learnt texts and (gram, n, times) of all, n in the learnt ones; text is UTF-8 in binary."""
+    counted = docs.select(learnt, text).mapInArrow(_count(order), COUNTED)
+    return cut(counted.groupBy("word", "gram").agg(F.sum("n").alias("n"), F.sum("times").alias("times")))
+
+
+def _level(keys: np.ndarray, n: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of order i from those of a higher order."""
+    found, of = np.unique(keys & np.uint64((1 << (8 * (i + 1))) - 1), return_inverse=True)
+    return found, np.bincount(of, n, len(found))
+
+
+def _whole(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    contexts, of = np.unique(keys >> np.uint64(8), return_inverse=True)
+    return contexts, np.bincount(of, n, len(contexts))
 
-    return Model(arrays(kept), arrays(totals))
+
+def _short(every: DataFrame, below: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts of the orders under ``below``; at most as many grams as the alphabet has runs of ``below`` bytes."""
+    rows = every.where("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * below)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    keys, n = rows.column("key").to_numpy().astype(np.uint64), rows.column("n").to_numpy().astype(np.float64)
+    return [_level(keys, n, i) for i in range(below)]
+
+
+def _part(shared, order: int, below: int):
+    """The part's model, from its own grams and the shorter orders, and each of its grams' score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[batch.column(k).to_numpy() for k in range(3)] for batch in batches if batch.num_rows]
+        if not held:
+            return
+        keys, n, times = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        keys, learnt = keys.astype(np.uint64), np.flatnonzero(n > 0)
+        counts = shared.value + [_level(keys[learnt], n[learnt].astype(np.float64), i) for i in range(below, order + 1)]
+        model = Model(counts, [_whole(*c) for c in counts])
+        for at in range(0, len(keys), 1 << 18):
+            some = slice(at, at + (1 << 18))
+            yield pa.record_batch([pa.array(keys[some].astype(np.int64)), pa.array(times[some]), pa.array(model.scores(keys[some]))], ["gram", "times", "score"])
+
+    return run
+
+
+def gram_scores(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, times, score) of every gram in gather()'s rows, by the trie of all that were learnt."""
+    spark = counted.sparkSession
+    every = counted.where("gram IS NOT NULL").select("gram", "n", "times")
+    below = min(SHARED, order)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(every.count() / PART))
+    shared = spark.sparkContext.broadcast(_short(every, below))
+    ends = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << (8 * below)) - 1))
+    return cut(every.repartition(parts, ends).mapInArrow(_part(shared, order, below), "gram long, times long, score double"))
 
 
 class _Rest(dict):
@@ -268,15 +305,32 @@ class _Rest(dict):
         return 0.0
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, score double, rest array<struct<word:binary,n:int>>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, score double, rest array<struct<word:binary,n:int>>, grams array<struct<gram:long,n:int>>"
 
 
-def _score(shared):
+def _score(shared, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (words, logs) = shared.value
+        keys, scores, words, logs = shared.value
+        common = Table(keys)
         head = _Rest(zip(words, logs, strict=True))
         row = TaskContext.get().partitionId() << 40
         rest_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+
+        def summed(docs: list[bytes]) -> tuple[np.ndarray, pa.ListArray]:
+            """Each document's sum over common grams, and its other grams with how often it has them."""
+            values, starts = grams(docs, order)
+            at = common.find(values)
+            known = np.append(scores, 0.0)[at]
+            left = np.flatnonzero(at < 0)
+            of = np.searchsorted(starts, left, side="right") - 1
+            by = np.lexsort((values[left], of))
+            of, rare = of[by], values[left][by]
+            first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (rare[1:] != rare[:-1])]) if len(rare) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[first, len(rare)]).astype(np.int32)
+            offsets = np.searchsorted(of[first], np.arange(len(docs) + 1)).astype(np.int32)
+            flat = pa.StructArray.from_arrays([pa.array(rare[first].astype(np.int64)), pa.array(n)], ["gram", "n"])
+            return np.add.reduceat(known, starts), pa.ListArray.from_arrays(pa.array(offsets), flat)
+
         for batch in batches:
             rows: list[tuple] = []
             docs: list[bytes] = []
@@ -287,10 +341,11 @@ def _score(shared):
                 flat = pa.StructArray.from_arrays([pa.array([x for y in w for x in y], pa.binary()), pa.array([x for y in c for x in y], pa.int32())], ["word", "n"])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(offsets)], pa.int32()), flat).cast(rest_type)
                 numbers = pa.array(np.arange(row, row + len(rows)))
-                done = [numbers, pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(model.score(docs)), lists]
+                total, rare = summed(docs)
+                done = [numbers, pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(total), lists, rare]
                 rows.clear()
                 docs.clear()
-                return pa.record_batch(done, ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "score", "rest"])
+                return pa.record_batch(done, ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "score", "rest", "grams"])
 
             for i, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch, 2), strict=True):
                 found = tokens(text)
@@ -316,11 +371,11 @@ def _score(shared):
 def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, nodes: int = NODES, head: int = HEAD) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    held_out: boolean column; rows where it is false are learnt from.
+    held_out: boolean column; rows where it is false are learnt from. nodes, head: most grams and words that are broadcast.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out.alias("held_out"), F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8").alias("text"))
-    counted = gather(rows.where(~F.col("held_out")), "text", order)
+    counted = gather(rows.withColumn("learnt", F.coalesce(~F.col("held_out"), F.lit(False))), "learnt", "text", order)
     words = counted.where("word IS NOT NULL").select("word", "n")
     facts = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = rows.where(~F.col("held_out")).count()
@@ -328,18 +383,25 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     least = max(1, math.ceil(n / head))
     top = words.where(F.col("n") >= least).toArrow()
     logs = np.log10(top.column("n").to_numpy().astype(np.float64) + 1)
-    shared = spark.sparkContext.broadcast((build(counted, order, nodes), (top.column("word").to_pylist(), logs.tolist())))
+    scores = gram_scores(counted, order)
+    often = max(1, math.ceil((scores.agg(F.sum("times")).first()[0] or 0) / nodes))
+    common = scores.where(F.col("times") >= often).select("gram", "score").toArrow()
+    keys = common.column("gram").to_numpy().astype(np.uint64)
+    shared = spark.sparkContext.broadcast((keys, common.column("score").to_numpy(), top.column("word").to_pylist(), logs.tolist()))
     path = scratch(spark, "scored")
-    rows.mapInArrow(_score(shared), SCORED).write.parquet(path)
+    rows.mapInArrow(_score(shared, order), SCORED).write.parquet(path)
     scored = spark.read.schema(SCORED).parquet(path)
+    rare = scored.select("row", F.explode("grams").alias("g")).select("row", "g.gram", F.col("g.n").alias("many"))
+    others = scores.where(F.col("times") < often).select("gram", F.col("score").alias("each"))
+    rare = rare.join(others.hint("merge"), "gram").groupBy("row").agg(F.sum(F.col("many") * F.col("each")).alias("rare_sum"))
     rest = scored.select("row", F.explode("rest").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
     counts = words.where(F.col("n") < least)
     found = rest.join(counts.hint("merge"), "word").groupBy("row").agg(F.sum("times").alias("rest_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rest_sum"))
-    joined = scored.drop("rest").join(found, "row", "left")
+    joined = scored.drop("rest", "grams").join(found, "row", "left").join(rare, "row", "left")
     end_log = math.log10(ends + 1)
     base = F.col("head_sum") + F.coalesce("rest_sum", F.lit(0.0)) + F.lit(end_log) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
     known = F.col("head_known") + F.coalesce("rest_known", F.lit(0)) + F.lit(int(ends > 0))
-    return joined.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return joined.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("rare_sum", F.lit(0.0))).alias("score"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

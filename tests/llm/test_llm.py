@@ -212,6 +212,25 @@ def test_lm_scores_are_log_probabilities(spark, odd, none):
     assert lm_scoring.score_documents(none, F.lit(False)).count() == 0
 
 
+def test_lm_keeps_every_gram(spark):
+    """What is broadcast doesn't change the scores: those of the trie of all grams."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"{'ab' * int(k % 3)}{k}" for k in rng.integers(0, 60, rng.integers(1, 40))) for _ in range(60)] + ["", "zq"]
+    docs = [b" ".join(lm_scoring.tokens(t.encode())) for t in texts]
+    v = lm_scoring.grams([d for i, d in enumerate(docs) if i % 4], lm_scoring.ORDER)[0]
+    counts, totals = [], []
+    for i in range(lm_scoring.ORDER + 1):
+        k, n = np.unique(v & np.uint64((1 << (8 * (i + 1))) - 1), return_counts=True)
+        c, o = np.unique(k >> np.uint64(8), return_inverse=True)
+        counts.append((k, n.astype(float)))
+        totals.append((c, np.bincount(o, n)))
+    want = lm_scoring.Model(counts, totals).score(docs)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for nodes in (1 << 24, 16):
+        got = {r.doc_id: r.score for r in lm_scoring.score_documents(df, F.col("doc_id") % 4 == 0, nodes=nodes).collect()}
+        assert np.allclose([got[i] for i in range(len(texts))], want, rtol=0, atol=1e-9)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 16))
