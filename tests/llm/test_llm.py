@@ -90,6 +90,14 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages.limit(0), bad).count() == 0
 
 
+def test_url_filter_blocks_by_reputation(spark):
+    """No rule fits these hosts; one has only bad pages, the other none."""
+    pages = spark.createDataFrame([(i, f"http://{'bad' if i < 60 else 'good'}{i % 2}.org/x") for i in range(120)], "page_id long, url string")
+    bad = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "page_id long, bad int")
+    got = {(r.host, r.rule, r.verdict) for r in url_filter.judge_urls(pages, bad).collect()}
+    assert got == {("bad0.org", None, "block"), ("bad1.org", None, "block"), ("good0.org", None, "allow"), ("good1.org", None, "allow")}
+
+
 def test_warc(spark):
     long = "é<p>" * 60_000
     rows = [(1, "http://a\r\n", "x" * 2000), (5, None, "x" * 2000), (None, "u", "x" * 2000), (2, "u", None), (3, "u", ""), (4, "u", long), (4, "u", long)]
