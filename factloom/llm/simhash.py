@@ -22,8 +22,9 @@ components of these are held against the texts: the Jaccard similarity of their
 sets of shingles decides.
 
 Equal fingerprints are one node, so copies never meet as pairs. Rows come sorted by
-key, and of a key's links only a minimum spanning forest is given out, which connects
-what the links within any smaller radius connect.
+key. Where bits alone decide, only a minimum spanning forest of a key's links is given
+out, which connects what the links within any smaller radius connect; where texts decide,
+every pair that such sure links don't connect.
 
 Defined results: null and empty texts have no shingles and fingerprint zero; a text of
 fewer words than a shingle is one shingle; null ids never are a component's id unless
@@ -180,27 +181,71 @@ def spanning(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return found
 
 
-def _meet(radius: int, sketch: int):
-    """Streams rows (key, node, fp) sorted by key; gives links (a, b, bits that differ) of nodes that meet under a key."""
+def every_pair(fps: np.ndarray, radius: int, sure: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """In blocks, the pairs of fps within radius, but of those that links within ``sure`` connect only a spanning forest of such links."""
+    forest = np.array(spanning(fps, sure), np.int64).reshape(-1, 2)
+    root = np.arange(len(fps))
+    for a, b in forest:
+        root[root == root[a]] = root[b]
+    yield forest[:, 0], forest[:, 1]
+    held: list[np.ndarray] = []
+    size = 0
+    for at in range(len(fps) - 1):
+        other = at + 1 + np.flatnonzero(root[at + 1 :] != root[at])
+        if not len(other):
+            continue
+        # Not near(): each pair is to be found that spanning() takes for a link.
+        parts = segments(fps[other] ^ fps[at])
+        hits = np.flatnonzero(pair_ok(parts, radius))
+        hits = other[hits[parts[hits].sum(axis=1) <= radius]]
+        held.append(np.stack([np.full(len(hits), at), hits]))
+        size += len(hits)
+        if size > 100_000:
+            yield tuple(np.concatenate(held, axis=1))
+            held.clear()
+            size = 0
+    if held:
+        yield tuple(np.concatenate(held, axis=1))
+
+
+def _meet(radius: int, sketch: int, sure: int | None = None):
+    """Streams rows (key, node, fp) sorted by key; gives links (a, b, bits that differ) of nodes that meet under a key.
+
+    A spanning forest of them, or with ``sure`` those of every_pair().
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.zeros(0, np.int64)
         nodes = np.zeros(0, np.int64)
         fps = np.zeros((0, sketch), np.uint64)
 
-        def links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        def links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             size = np.diff(np.r_[first, len(keys)])
             pairs = first[size == 2]
             pairs = pairs[near(fps[pairs], fps[pairs + 1], radius)] if len(pairs) else pairs
             a, b = [pairs], [pairs + 1]
+
+            def out() -> pa.RecordBatch:
+                i, j = np.concatenate(a), np.concatenate(b)
+                a.clear()
+                b.clear()
+                bits = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1).astype(np.int32)
+                return pa.record_batch([pa.array(nodes[i]), pa.array(nodes[j]), pa.array(bits)], ["a", "b", "bits"])
+
             for start, n in zip(first[size > 2], size[size > 2], strict=True):
-                found = np.array(spanning(fps[start : start + n], radius), np.int64).reshape(-1, 2) + start
-                a.append(found[:, 0])
-                b.append(found[:, 1])
-            i, j = np.concatenate(a), np.concatenate(b)
-            bits = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1).astype(np.int32)
-            return pa.record_batch([pa.array(nodes[i]), pa.array(nodes[j]), pa.array(bits)], ["a", "b", "bits"])
+                own = fps[start : start + n]
+                if sure is None:
+                    some = iter([np.array(spanning(own, radius), np.int64).reshape(-1, 2).T])
+                else:
+                    some = every_pair(own, radius, sure)
+                for i, j in some:
+                    a.append(i + start)
+                    b.append(j + start)
+                    if sum(map(len, a)) > 100_000:
+                        yield out()
+            if a:
+                yield out()
 
         for batch in batches:
             if not batch.num_rows:
@@ -210,10 +255,10 @@ def _meet(radius: int, sketch: int):
             keys, nodes, fps = np.r_[keys, batch.column(0).to_numpy()], np.r_[nodes, batch.column(1).to_numpy()], np.concatenate([fps, own])
             end = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
             if end:
-                yield links(keys[:end], nodes[:end], fps[:end])
+                yield from links(keys[:end], nodes[:end], fps[:end])
                 keys, nodes, fps = keys[end:], nodes[end:], fps[end:]
         if len(keys):
-            yield links(keys, nodes, fps)
+            yield from links(keys, nodes, fps)
 
     return run
 
@@ -245,11 +290,11 @@ def _little(x):
     return F.unhex(F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)]))
 
 
-def _linked(rows: DataFrame, radius: int, sketch: int) -> DataFrame:
+def _linked(rows: DataFrame, radius: int, sketch: int, sure: int | None = None) -> DataFrame:
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "node")
-    return dealt.select("key", "node", "fp").mapInArrow(_meet(radius, sketch), "a long, b long, bits int")
+    return dealt.select("key", "node", "fp").mapInArrow(_meet(radius, sketch, sure), "a long, b long, bits int")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -309,15 +354,25 @@ def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = [F.conv(k, 16, 10).cast("long") for k in keys]
     short = F.substring(F.col("fp"), 1, 8 * sketch)
     dealt = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", short.alias("fp"))
-    found = cut(_linked(dealt, how["radius"], sketch).where("a <> b").distinct())
+    found = cut(_linked(dealt, how["radius"], sketch, how["sure"]).where("a <> b").distinct())
     sure = cut(components(found.where(F.col("bits") <= how["sure"])))
-    # What is left to decide: pairs between different components.
-    ends = found.where(F.col("bits") > how["sure"]).select("a", "b")
+    # What is left to decide: pairs between different components. Of each two components the closest pair first, then
+    # all others but those that are connected by then.
+    ends = found.where(F.col("bits") > how["sure"])
     for end in ("a", "b"):
         ends = ends.join(sure.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    ends = ends.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
+    ends = ends.select("a", "b", "bits", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
     ends = cut(ends.where("root_a <> root_b"))
-    alike = similar(ends, docs, id_col, text_col, how["shingle"], how["least"])
+    low, high = F.least("root_a", "root_b"), F.greatest("root_a", "root_b")
+    first = ends.groupBy(low.alias("low"), high.alias("high")).agg(F.min(F.struct("bits", "a", "b", "root_a", "root_b")).alias("x"))
+    first = first.select("x.a", "x.b", "x.root_a", "x.root_b")
+    alike = cut(similar(cut(first), docs, id_col, text_col, how["shingle"], how["least"]).select("root_a", "root_b"))
+    tops = cut(components(alike.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
+    rest = ends.select("a", "b", "root_a", "root_b").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(tops.select(F.col("node").alias(f"root_{end}"), F.col("root").alias(f"top_{end}")), f"root_{end}", "left")
+    rest = rest.where(F.coalesce("top_a", "root_a") != F.coalesce("top_b", "root_b")).select("a", "b", "root_a", "root_b")
+    alike = alike.union(similar(cut(rest), docs, id_col, text_col, how["shingle"], how["least"]).select("root_a", "root_b"))
     tops = components(alike.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
     tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
     named = nodes.join(sure, "node", "left").withColumn("root", F.coalesce("root", "node")).join(tops, "root", "left")

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -150,6 +151,21 @@ def test_spanning_forest_connects_all_links():
         assert parts([f for f in found if far[f] <= radius]) == parts(list(zip(*np.nonzero(far <= radius), strict=True)))
 
 
+def test_every_pair_under_a_key():
+    """A and B are as close to C as to one another: a forest leaves out a pair that the texts may have to decide."""
+    fps = np.zeros((5, 4), np.uint64)
+    fps[1, 0], fps[2, 1] = np.uint64(0x0101010101010101), np.uint64(0x0101010101010101)
+    fps[1, 2], fps[2, 3] = fps[1, 0] * np.uint64(7), fps[2, 1] * np.uint64(7)
+    fps[3] = fps[1]
+    fps[3, 3] ^= np.uint64(1)
+    fps[4] = ~fps[0]
+    links = pa.RecordBatch.from_arrays([pa.array([9] * 5), pa.array(range(5)), pa.array([f.tobytes() for f in fps], pa.binary())], ["key", "node", "fp"])
+    found = [tuple(sorted(p)) for batch in simhash._meet(64, 4, 20)(iter([links])) for p in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)]
+    far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    assert len(found) == len(set(found))
+    assert set(found) == {(a, b) for a in range(5) for b in range(a + 1, 5) if far[a, b] <= 64}
+
+
 def test_near_dedup_by_similarity(spark):
     rng = np.random.default_rng(5)
     texts = []
