@@ -1,7 +1,7 @@
 """Grounding: locating quotes in documents with exact character offsets.
 
-Quotes find candidate documents by their longest word (an equi-join on document words,
-kept once per document), so tokens of a document never meet those of another. Each
+Quotes find candidate documents by their fragments' longest word (an equi-join on document
+words, kept once per document), so tokens of a document never meet those of another. Each
 candidate pair is then matched fragment by fragment, earliest first, without backtracking.
 """
 
@@ -66,10 +66,15 @@ def reanchor(text: Column, span: Column) -> Column:
     return F.substring(text, span["start"] + 1, span["end"] - span["start"])
 
 
+def _longest(parts: Column) -> Column:
+    return F.array_max(F.transform(F.flatten(parts), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+
+
 def candidates(quotes: DataFrame, docs: DataFrame, few: int = 10_000) -> DataFrame:
-    """(quote_id, doc_id): pairs where the document has the quote's longest word. quotes: quote_id, quote; docs: doc_id, text."""
-    longest = F.array_max(F.transform(tx.words(tx.clean(F.col("quote"))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    anchors = quotes.select("quote_id", longest.alias("word")).where("word IS NOT NULL")
+    """(quote_id, doc_id): pairs where the document has the longest word of the quote's fragments, of either split. quotes: quote_id, quote; docs: doc_id, text."""
+    cleaned = tx.clean(F.col("quote"))
+    either = F.array_distinct(F.array_compact(F.array(_longest(tx.fragments(cleaned)), _longest(tx.struct_fragments(cleaned)))))
+    anchors = quotes.select("quote_id", F.explode(either).alias("word"))
     n = anchors.limit(few + 1).count()
     own = docs.select("doc_id", F.explode(F.array_distinct(tx.words(tx.clean(F.col("text"))))).alias("word"))
     return own.join(F.broadcast(anchors) if n <= few else anchors, "word").select("quote_id", "doc_id").distinct()

@@ -29,6 +29,15 @@ def test_locate(spark):
     assert located(spark, "“Big” CO", 'the "big" co.') == 'big" co'
 
 
+def test_ground_finds_quotes_that_only_a_split_matches(spark):
+    docs = spark.createDataFrame([(1, "an alpha beta in front of gamma delta here"), (2, "the Label is a value"), (3, "nothing")], "doc_id long, text string")
+    quotes = [(1, "alpha beta…gamma delta"), (2, "Label:value"), (3, "Label**value"), (4, "beta...gamma"), (5, "…"), (6, "alpha:none")]
+    found = grounding.ground(spark.createDataFrame(quotes, "quote_id long, quote string"), docs).collect()
+    assert sorted((r.quote_id, r.doc_id, r.evidence) for r in found) == [
+        (1, 1, "alpha beta in front of gamma delta"), (2, 2, "Label is a value"), (3, 2, "Label is a value"), (4, 1, "beta in front of gamma"),
+    ]
+
+
 def test_chunks(spark):
     got = one(spark, tx.char_chunks(F.col("t"), 10, 2), t="a" * 25)
     assert [(c.start, len(c.text)) for c in got] == [(0, 10), (8, 10), (16, 9)]
