@@ -290,31 +290,75 @@ def test_toxicity(spark, odd, none):
     assert {r.p_toxic for r in toxicity.predict(odd, blank, toxicity.CHAIN).collect()} == {0.0}
 
 
-@pytest.mark.parametrize("giant,chunk", [(10**6, 4096), (20, 17)])
+def test_chain_against_brute_force():
+    """Weights of the chain against plain gradient descent on dense matrices; the second model sees the first's out-of-fold probabilities."""
+    rng = np.random.default_rng(4)
+    x = (rng.random((120, 8)) < 0.4).astype(float)
+    labels = np.stack([x[:, 0] + rng.random(120) > 0.9, x[:, 1] + x[:, 0] + rng.random(120) > 1.2], axis=1).astype(int)
+    fold = np.arange(120) % toxicity.FOLDS
+
+    def descend(d, y):
+        d = np.c_[d, np.ones(len(d))]
+        w, keep = np.zeros(d.shape[1]), np.r_[np.full(d.shape[1] - 1, toxicity.L2), 0.0]
+        for _ in range(40):  # Newton's steps
+            p = 1 / (1 + np.exp(-d @ w))
+            w -= np.linalg.solve((d.T * (p * (1 - p))) @ d + np.diag(keep), d.T @ (p - y) + keep * w)
+        return w
+
+    def chance(d, w):
+        return 1 / (1 + np.exp(-(np.c_[d, np.ones(len(d))] @ w)))
+
+    first = descend(x, labels[:, 0])
+    out = np.zeros(120)
+    for f in range(toxicity.FOLDS):
+        out[fold == f] = chance(x[fold == f], descend(x[fold != f], labels[fold != f, 0]))
+    second = descend(np.c_[x, out], labels[:, 1])
+    want = np.c_[chance(x, first), chance(np.c_[x, chance(x, first)], second)]
+    rows, index = np.nonzero(x)
+    chain = toxicity.train_chain(toxicity.Entries(np.bincount(rows, minlength=120), index, 50), labels, fold, [f"f{i}" for i in range(8)])
+    got = chain.probabilities([index[rows == i].tolist() for i in range(120)])
+    assert np.abs(got - want).max() < 0.01
+
+
+@pytest.mark.parametrize("giant,chunk", [(10**6, 4096), (20, 17), (20, 5)])
 def test_pieces(spark, odd, none, giant, chunk):
+    """Ids are the library's, whole or by chunks; a text's own mark is the one difference, as it must come back."""
     own = pieces.Pieces.load()
-    texts = [o[1] or "" for o in ODD] + ["日本語のテキスト" * 9, "a" * 90, " ▁ \n\n é ", "it is  so"]
+    texts = [o[1] or "" for o in ODD] + ["日本語のテキスト" * 9, "a" * 90, " ▁ \n\n é ", "it is  so", " " * 40 + "x", "ab" * 200 + " q  ", "1234567890" * 30]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in pieces.encode_documents(df, giant=giant, chunk=chunk).collect()}
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    score = {sp.id_to_piece(i): int(sp.get_score(i)) for i in range(259, sp.get_piece_size()) if sp.get_score(i) > pieces.UNUSED}
-    score["▁"] = min(score.values()) - 1
     for i, t in enumerate(texts):
         assert got[i].decoded and own.decode(got[i].token_ids) == t
-        if len(t) > 2000 or not t:
-            continue
-        s = "▁" + t.replace("▁", "\U0010ffff").replace(" ", "▁")
-        best = [0] + [pieces.NONE] * len(s)
-        for a in range(len(s)):
-            for n in range(1, min(own.longest, len(s) - a) + 1):
-                w = score.get(s[a : a + n], own.unknown if n == 1 else None)
-                if w is not None:
-                    best[a + n] = max(best[a + n], best[a] + w)
-        assert got[i].score == best[-1]
+        if "▁" not in t:
+            assert got[i].token_ids == sp.encode(t)
+        assert got[i].n_tokens == len(got[i].token_ids)
+        assert got[i].score == pytest.approx(sum(sp.get_score(x) for x in got[i].token_ids))
     assert pieces.encode_documents(odd).count() == len(ODD) and pieces.encode_documents(none).count() == 0
     assert {r.doc_id: r.text for r in pieces.decode_documents(pieces.encode_documents(df)).collect()} == dict(enumerate(texts))
 
 
+def test_pieces_equal_the_library_on_every_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    text = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    got = pieces.encode_documents(docs, giant=4000).collect()
+    assert len(got) == len(text) and all(r.token_ids == sp.encode(text[r.doc_id]) for r in got)
+
+
+def test_pieces_walks_join_only_where_alike():
+    """In a text without spaces a chunk's matrix agrees with walks that go on alone from each state."""
+    own = pieces.Encoder(pieces.Pieces.load())
+    rng = np.random.default_rng(0)
+    text = " " + "".join(rng.choice(list("abehilnorst"), 600))
+    wide = own.pieces.longest
+    chunk = pieces.Chunk(own, text[100 - wide : 400 + wide], wide, 300)
+    alone = np.full(chunk.matrix().shape, -np.inf)
+    for i, (_, end, token) in enumerate(chunk.entries):
+        alone[i] = chunk._leave(pieces.Walk(own.pieces, chunk.text, end, token, chunk.hi))
+    assert np.array_equal(alone, chunk.matrix()) and (alone > -np.inf).any() and len(chunk.entries) > 1
+
+
 def test_pipeline(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 0 and got.where("NOT decoded").count() == 0
