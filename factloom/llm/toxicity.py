@@ -1,12 +1,12 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted in order; each linear (logistic) model sees the document's
-features and the log-odds of the earlier categories. In training these come from
+features and the probabilities of the earlier categories. In training these come from
 models that haven't seen the document (five folds), in use from the final models.
 
 Features are present or not: lower-cased words without ASCII punctuation, and their
 first 4 and 6 characters. The models are fitted on a bounded sample of labelled rows
-(TRAIN_ROWS, by a hash of the id), with the FEATURES features of that sample most
+(TRAIN_ROWS, by a hash of the id; rows of one hash count as one), with the FEATURES features of that sample most
 associated with a category; all of every document is read for its score.
 
 Defined results: null and empty texts have no features, so the model's prior; rows
@@ -45,6 +45,34 @@ def features(text: str) -> set[str]:
     return found
 
 
+class Entries:
+    """Which features each row has: the rows' numbers of entries, and the entries' features one after another."""
+
+    def __init__(self, lengths: np.ndarray, index: np.ndarray, block: int = 1 << 20):
+        self.lengths, self.index = lengths, index.astype(np.int32)
+        self.ends = np.r_[0, np.cumsum(lengths)]
+        # Rows in blocks of so many entries, so that what a pass makes of them stays small.
+        self.cuts = np.unique(np.r_[np.searchsorted(self.ends, np.arange(0, self.ends[-1] + 1, block)), len(lengths)])
+
+    def _blocks(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        for lo, hi in zip(self.cuts[:-1], self.cuts[1:], strict=True):
+            yield slice(lo, hi), self.lengths[lo:hi], self.index[self.ends[lo] : self.ends[hi]]
+
+    def sums(self, w: np.ndarray) -> np.ndarray:
+        """Of each row's weights."""
+        out = np.zeros(len(self.lengths))
+        for rows, n, index in self._blocks():
+            out[rows] = np.bincount(np.repeat(np.arange(len(n)), n), w[index], len(n))
+        return out
+
+    def gathered(self, r: np.ndarray, size: int) -> np.ndarray:
+        """Of each feature, the sum of r over its rows."""
+        out = np.zeros(size)
+        for rows, n, index in self._blocks():
+            out += np.bincount(index, np.repeat(r[rows], n), size)
+        return out
+
+
 class Linear:
     """Logistic regression over sparse present-or-not features and a few dense ones, by limited-memory BFGS."""
 
@@ -52,27 +80,27 @@ class Linear:
         self.w = np.zeros(n)
         self.known = False
 
-    def fit(self, index: np.ndarray, rows: np.ndarray, dense: np.ndarray, y: np.ndarray, steps: int = 60) -> "Linear":
-        """index, rows: feature and row of each entry; dense: (rows, k). The weights: features, dense, bias."""
-        if y.min(initial=1) == y.max(initial=0) or not len(y):
+    def fit(self, entries: Entries, dense: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int = 60) -> "Linear":
+        """dense: (rows, k); use: rows to learn from. The weights: features, dense, bias."""
+        seen = y[use]
+        if not len(seen) or seen.min() == seen.max():
             return self
         self.known = True
-        n, k = len(y), dense.shape[1]
-        size = len(self.w)
+        k, size = dense.shape[1], len(self.w)
 
         def value(w: np.ndarray) -> tuple[float, np.ndarray]:
-            z = np.bincount(rows, w[index], n) + dense @ w[size - k - 1 : size - 1] + w[-1]
+            z = entries.sums(w) + dense @ w[size - k - 1 : size - 1] + w[-1]
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            loss = np.logaddexp(0, -np.where(y > 0, z, -z)).sum() + L2 / 2 * (w[:-1] ** 2).sum()
-            r = p - y
-            grad = np.bincount(index, r[rows], size)
+            loss = np.logaddexp(0, -np.where(y > 0, z, -z))[use].sum() + L2 / 2 * (w[:-1] ** 2).sum()
+            r = np.where(use, p - y, 0.0)
+            grad = entries.gathered(r, size)
             grad[size - k - 1 : size - 1] += dense.T @ r
             grad[-1] += r.sum()
             grad[:-1] += L2 * w[:-1]
             return loss, grad
 
         w = self.w
-        w[-1] = np.log(y.mean() / (1 - y.mean()))
+        w[-1] = np.log(seen.mean() / (1 - seen.mean()))
         loss, grad = value(w)
         past: list[tuple[np.ndarray, np.ndarray]] = []
         for _ in range(steps):
@@ -104,12 +132,12 @@ class Linear:
         self.w = w
         return self
 
-    def odds(self, sums: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        """Log-odds, given the sums of the features' weights."""
+    def probability(self, sums: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        """Given the sums of the features' weights; 0 if nothing could be learnt."""
         if not self.known:
-            return np.full(len(sums), -40.0)
+            return np.zeros(len(sums))
         k = dense.shape[1]
-        return np.clip(sums + (dense @ self.w[-k - 1 : -1] if k else 0.0) + self.w[-1], -40, 40)
+        return 1 / (1 + np.exp(-np.clip(sums + (dense @ self.w[-k - 1 : -1] if k else 0.0) + self.w[-1], -40, 40)))
 
 
 class Chain:
@@ -123,29 +151,25 @@ class Chain:
     def probabilities(self, found: list[list[int]]) -> np.ndarray:
         """(documents, categories)."""
         sums = np.stack([self.weights[f].sum(axis=0) for f in found]) if found else np.zeros((0, len(self.models)))
-        odds = np.zeros((len(sums), 0))
+        out = np.zeros((len(sums), 0))
         for c, model in enumerate(self.models):
-            odds = np.c_[odds, model.odds(sums[:, c], odds)]
-        return np.where(odds > -40, 1 / (1 + np.exp(-odds)), 0.0)
+            out = np.c_[out, model.probability(sums[:, c], out)]
+        return out
 
 
-def train_chain(index: np.ndarray, rows: np.ndarray, labels: np.ndarray, fold: np.ndarray, vocabulary: list[str]) -> Chain:
+def train_chain(entries: Entries, labels: np.ndarray, fold: np.ndarray, vocabulary: list[str]) -> Chain:
     """labels: (rows, categories) of 0 and 1; fold: of each row."""
     n, v = len(labels), len(vocabulary)
     earlier, models = np.zeros((n, 0)), []
     for c in range(labels.shape[1]):
         y = labels[:, c].astype(np.float64)
         size = v + earlier.shape[1] + 1
-        models.append(Linear(size).fit(index, rows, earlier, y))
+        models.append(Linear(size).fit(entries, earlier, y, np.ones(n, bool)))
         out = np.zeros(n)
         if c + 1 < labels.shape[1]:
             for f in range(FOLDS):
-                inside = fold != f
-                number = np.cumsum(inside) - 1
-                use = inside[rows]
-                part = Linear(size).fit(index[use], number[rows[use]], earlier[inside], y[inside])
-                sums = np.bincount(rows, part.w[index], n)
-                out[~inside] = part.odds(sums, earlier)[~inside]
+                part = Linear(size).fit(entries, earlier, y, fold != f)
+                out[fold == f] = part.probability(entries.sums(part.w), earlier)[fold == f]
         earlier = np.c_[earlier, out]
     return Chain(vocabulary, models)
 
@@ -160,7 +184,7 @@ def fit(labelled: DataFrame, text_col: str, label_cols: list[str], key: str, tra
     last = drawn.agg(F.max("h")).first()[0]
     if last is None:
         return Chain([], [Linear(1 + c) for c in range(len(label_cols))])
-    sample = cut(known.where(F.col("h") <= last))
+    sample = cut(known.where(F.col("h") <= last).groupBy("h").agg(F.min(F.struct("text", "y")).alias("x")).select("x.text", "x.y", "h"))
     k = len(label_cols)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,15 +215,11 @@ def fit(labelled: DataFrame, text_col: str, label_cols: list[str], key: str, tra
             found = [[at[f] for f in at.keys() & features(t)] for t in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array(found, pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["i", "y", "h"])
 
-    matrix = sample.mapInArrow(place, "i array<int>, y array<int>, h long").toArrow()
+    matrix = sample.mapInArrow(place, "i array<int>, y array<int>, h long").toArrow().sort_by("h")  # rows come in any order
     lists = matrix.column("i").combine_chunks()
-    lengths = np.diff(lists.offsets.to_numpy())
-    labels = np.array(matrix.column("y").to_pylist()).reshape(-1, k)
+    labels = matrix.column("y").combine_chunks().flatten().to_numpy().reshape(-1, k)
     fold = np.abs(matrix.column("h").to_numpy() // 7) % FOLDS
-    by = np.argsort(matrix.column("h").to_numpy(), kind="stable")  # rows come in any order
-    rows = np.empty(len(by), np.int64)
-    rows[by] = np.arange(len(by))
-    return train_chain(lists.flatten().to_numpy().astype(np.int64), np.repeat(rows, lengths), labels[by], fold[by], vocabulary)
+    return train_chain(Entries(np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()), labels, fold, vocabulary)
 
 
 def predict(docs: DataFrame, chain: Chain, names: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
