@@ -24,7 +24,7 @@ sets of shingles decides.
 Equal fingerprints are one node, so copies never meet as pairs. Rows come sorted by
 key. Where bits alone decide, only a minimum spanning forest of a key's links is given
 out, which connects what the links within any smaller radius connect; where texts decide,
-every pair that such sure links don't connect.
+every pair that such sure links don't connect; they are decided closest first, in rounds.
 
 Defined results: null and empty texts have no shingles and fingerprint zero; a text of
 fewer words than a shingle is one shingle; null ids never are a component's id unless
@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, fresh
+from factloom.llm.common import cut, fresh, scratch
 from factloom.llm.graph import components
 from factloom.llm.lm_scoring import tokens
 
@@ -313,34 +313,78 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("doc_id", "fingerprint", "component_id")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
-    """The rows of pairs (a, b and more) whose documents' sets of shingles have a Jaccard similarity of at least ``least``."""
-    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, n, hashes) of the documents in wanted (id): their distinct shingles' hashes, sorted, 8 bytes each."""
     few = wanted.count() <= BROADCAST_IDS
     text = F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
-    texts = cut(texts.join(F.broadcast(wanted) if few else wanted.hint("merge"), "id", "left_semi"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                own = [np.unique(np.array(shingle_hashes(tokens(t.as_py()), shingle), np.uint64)) for t in part.column(1)]
+                yield pa.record_batch([part.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["id", "n", "hashes"])
+
+    found = texts.join(F.broadcast(wanted) if few else wanted.hint("merge"), "id", "left_semi")
+    return cut(found.mapInArrow(run, "id long, n long, hashes binary"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The rows of pairs (a, b and more) whose documents' sets of shingles have a Jaccard similarity of at least ``least``."""
     both = pairs
     for end in ("a", "b"):
-        both = both.join(texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")).hint("merge"), end)
+        both = both.join(sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("hashes").alias(f"hashes_{end}")).hint("merge"), end)
+    both = both.where((F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")) & (F.col("n_a") > 0))
     others = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
         for batch in batches:
             ok = []
-            for a, b in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
-                a = a.as_py()
-                if a != last:
-                    last, own = a, set(shingle_hashes(tokens(a), shingle))
-                other = set(shingle_hashes(tokens(b.as_py()), shingle))
-                common = len(own & other)
-                ok.append(common >= least * (len(own) + len(other) - common))
+            for x, y in zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True):
+                own, other = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                whole = np.sort(np.concatenate([own, other]))
+                common = int((whole[1:] == whole[:-1]).sum())
+                ok.append(common >= least * (len(whole) - common))
             yield batch.select(others).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(run, pairs.schema).distinct()
 
 
+def decided(ends: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """ends: (a, b, bits, root_a, root_b), candidates between components. Edges (a, b) of components that hold, enough to connect all that do.
+
+    In rounds: each component's closest candidate in each of some slots (by hash) is held against the texts; pairs that
+    are connected by then, or decided, go; the slots grow eightfold, until what is left is no more than what was just decided.
+    """
+    left = ends.select("a", "b", "bits", "root_a", "root_b", F.col("root_a").alias("top_a"), F.col("root_b").alias("top_b"))
+    held, slots = None, 1
+    count = left.count()
+    while count:
+        sides = [left.select("a", "b", "bits", "root_a", "root_b", F.col(f"top_{x}").alias("u")) for x in "ab"]
+        slot = F.pmod(F.xxhash64("a", "b"), F.lit(slots))
+        best = sides[0].unionByName(sides[1]).groupBy("u", slot.alias("slot")).agg(F.min(F.struct("bits", "a", "b", "root_a", "root_b")).alias("x"))
+        picked = cut(best.select("x.a", "x.b", "x.root_a", "x.root_b").distinct())
+        if 2 * picked.count() >= count:
+            picked = left.select("a", "b", "root_a", "root_b")
+            count = 0
+        found = similar(picked, sets, least).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        held = cut(found if held is None else held.union(found))
+        if count:
+            tops = cut(components(held))
+            left = left.join(picked.select("a", "b"), ["a", "b"], "left_anti").drop("top_a", "top_b")
+            for end in ("a", "b"):
+                own = tops.select(F.col("node").alias(f"root_{end}"), F.col("root").alias(f"top_{end}"))
+                left = left.join(own, f"root_{end}", "left").withColumn(f"top_{end}", F.coalesce(f"top_{end}", f"root_{end}"))
+            # Written, not checkpointed: a checkpoint keeps the plan's constraints, which multiply from round to round.
+            path = scratch(left.sparkSession, "left")
+            left.where("top_a <> top_b").write.parquet(path)
+            left = left.sparkSession.read.parquet(path)
+            count = left.count()
+            slots *= 8
+    return ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).limit(0) if held is None else held
+
+
 def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: dict | None = None) -> DataFrame:
     """One row per row of docs: node (the least id of its fingerprint), component_id; for similarities over a wide radius."""
     how = WIDE | (how or {})
@@ -356,24 +400,14 @@ def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", short.alias("fp"))
     found = cut(_linked(dealt, how["radius"], sketch, how["sure"]).where("a <> b").distinct())
     sure = cut(components(found.where(F.col("bits") <= how["sure"])))
-    # What is left to decide: pairs between different components. Of each two components the closest pair first, then
-    # all others but those that are connected by then.
+    # What is left to decide: pairs between different components.
     ends = found.where(F.col("bits") > how["sure"])
     for end in ("a", "b"):
         ends = ends.join(sure.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
     ends = ends.select("a", "b", "bits", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
     ends = cut(ends.where("root_a <> root_b"))
-    low, high = F.least("root_a", "root_b"), F.greatest("root_a", "root_b")
-    first = ends.groupBy(low.alias("low"), high.alias("high")).agg(F.min(F.struct("bits", "a", "b", "root_a", "root_b")).alias("x"))
-    first = first.select("x.a", "x.b", "x.root_a", "x.root_b")
-    alike = cut(similar(cut(first), docs, id_col, text_col, how["shingle"], how["least"]).select("root_a", "root_b"))
-    tops = cut(components(alike.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
-    rest = ends.select("a", "b", "root_a", "root_b").join(first.select("a", "b"), ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        rest = rest.join(tops.select(F.col("node").alias(f"root_{end}"), F.col("root").alias(f"top_{end}")), f"root_{end}", "left")
-    rest = rest.where(F.coalesce("top_a", "root_a") != F.coalesce("top_b", "root_b")).select("a", "b", "root_a", "root_b")
-    alike = alike.union(similar(cut(rest), docs, id_col, text_col, how["shingle"], how["least"]).select("root_a", "root_b"))
-    tops = components(alike.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    sets = shingle_sets(docs, cut(ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct()), id_col, text_col, how["shingle"])
+    tops = components(decided(ends, sets, how["least"]))
     tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
     named = nodes.join(sure, "node", "left").withColumn("root", F.coalesce("root", "node")).join(tops, "root", "left")
     named = named.select("fp", "node", F.coalesce("top", "root").alias("component_id"))
