@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +20,44 @@ SHORT_STOP = ["the", "of", "and", "a", "an", "company", "limited", "incorporated
 CHUNK, OVERLAP = 20_000, 2_000
 
 
+# Words of legal form or trade that a company's name may go on with; cues of negation; separators of quotes in parts.
+FORM_WORDS = [
+    "corporation", "corp", "incorporated", "inc", "limited", "ltd", "co", "company", "group", "holdings", "llc", "plc", "gmbh", "ag", "sa",
+    "bv", "nv", "srl", "oy", "ab", "as", "asa", "kk", "pte", "pvt", "llp", "lp", "lllp", "and", "the",
+    "industries", "international", "global", "solutions", "services", "technologies", "technology", "systems", "system", "computer",
+    "computers", "semiconductor", "semiconductors", "manufacturing", "precision", "electronics", "electronic", "electric", "electrical",
+    "industrial", "industry", "enterprises", "enterprise",
+]
+SEGMENTS = r"\s+/\s+|\s+[*•·]\s+|\s+-\s+"
+
+
+@functools.cache
+def _compositions() -> str:
+    """Base, mark and composed character of every canonical composition of two, bases that are composed themselves later; by commas."""
+
+    def parts(c: str) -> str:
+        found = unicodedata.decomposition(c)
+        return "" if "<" in found else "".join(chr(int(x, 16)) for x in found.split())
+
+    def depth(c: str) -> int:
+        own = parts(c)
+        return 1 + depth(own[0]) if len(own) == 2 else 0
+
+    every = [c for c in map(chr, range(0xC0, 0x3000)) if len(parts(c)) == 2 and unicodedata.normalize("NFC", c) == c]
+    return ",".join(parts(c) + c for c in sorted(every, key=lambda c: (depth(c), c)))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of value, which stands in the plan, and is worked out, once however often f uses it."""
+    return F.transform(F.array(value), lambda x: f(x)).getItem(0)
+
+
+def composed(text: Column) -> Column:
+    """Marks joined to the characters before them (NFC, but for the order of several marks); only texts that hold marks are worked on."""
+    step = lambda t, p: F.replace(t, F.substring(p, 1, 2), F.substring(p, 3, 1))
+    return let(text, lambda t: F.when(t.rlike(r"\p{M}"), F.aggregate(F.split(F.lit(_compositions()), ","), t, step)).otherwise(t))
+
+
 def char_chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
     """array<struct<start, text>>: windows of size characters, each overlapping the last, until one reaches the end."""
     if overlap >= size:
@@ -65,8 +108,8 @@ def _blank(text: Column, pattern: str) -> Column:
 
 def clean(text: Column) -> Column:
     """Citations, tags, table pipes and run-on periods as spaces; the length stays."""
-    text = F.when(text.rlike(CITATION), _blank(text, CITATION)).otherwise(text)
-    text = F.when(text.rlike(TAG), _blank(text, TAG)).otherwise(text)
+    for pattern in (CITATION, TAG):
+        text = let(text, lambda t, p=pattern: F.when(t.rlike(p), _blank(t, p)).otherwise(t))
     return F.regexp_replace(F.translate(text, "|", " "), RUN_ON, " ")
 
 
@@ -86,9 +129,77 @@ def struct_fragments(quote: Column) -> Column:
 
 
 def fact_id(rel: Column, a: Column, b: Column) -> Column:
+    """A null part counts as the control character 1, so that it keeps its place."""
+    rel, a, b = (F.coalesce(x.cast("string"), F.lit("\1")) for x in (rel, a, b))
     return F.concat(F.lit("f"), F.substring(F.sha2(F.concat_ws("\0", rel, a, b), 256), 1, 12))
 
 
+def harvest_id(rel: Column, a: Column, b: Column, source: Column) -> Column:
+    parts = [F.coalesce(x.cast("string"), F.lit("")) for x in (rel, a, b, source)]
+    return F.concat(F.lit("h"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12))
+
+
+def dataset_name(path: Column) -> Column:
+    """The file's stem, blanks as underscores, and eight digits of the path's hash."""
+    stem = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
+    return F.concat(F.replace(stem, F.lit(" "), F.lit("_")), F.lit("_"), F.substring(F.sha2(path, 256), 1, 8))
+
+
+def cache_key(*parts: Column) -> Column:
+    """Hash of all that a result depends on; a null part counts as empty."""
+    return F.sha2(F.concat_ws("\0", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+
+
+def display_name(name: Column, key: Column, none: str = "?") -> Column:
+    """The name, else the key, else a stand-in; empty counts as missing."""
+    return F.coalesce(F.nullif(name, F.lit("")), F.nullif(key.cast("string"), F.lit("")), F.lit(none))
+
+
+def _parts(quote: Column, pattern: str) -> Column:
+    return F.filter(F.transform(F.split(quote, pattern), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def multi_quotes(quote: Column) -> Column:
+    """Segments of a quote in parts: at slashes, bullets and dashes that stand alone."""
+    return _parts(quote, SEGMENTS)
+
+
+def grader_quotes(quote: Column) -> Column:
+    """Segments at ' / ' only."""
+    return _parts(quote, " / ")
+
+
+def evidence_quote(evidence: Column) -> Column:
+    """The texts of evidence spans as one quote."""
+    return F.array_join(F.filter(F.transform(evidence, lambda e: e["text"]), lambda t: t != ""), " / ")
+
+
+def evidence_level(level: Column, quote: Column) -> Column:
+    """strong with under ten characters reads moderate, else moderate without a quote weak: one step only."""
+    n = F.length(F.trim(F.coalesce(quote, F.lit(""))))
+    return F.when((level == "strong") & (n < 10), "moderate").when((level == "moderate") & (n == 0), "weak").otherwise(level)
+
+
+def _name_words(name: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(F.replace(name, F.lit("/"), F.lit(""))), r"(?U)[^\w]", " "), " "), lambda w: w != "")
+
+
+def suspicious_name(term: Column, resolved: Column, words: list[str] = FORM_WORDS) -> Column:
+    """Whether a resolved name goes on after the term with words that are no legal form or trade; short all-caps terms never are."""
+    a, b = _name_words(term), _name_words(resolved)
+    caps = (F.upper(term) == term) & (F.lower(term) != term) & (F.length(term) <= 6)
+    extra = F.slice(b, F.size(a) + 1, F.greatest(F.size(b) - F.size(a), F.lit(0)))
+    more = (F.size(b) > F.size(a)) & (F.slice(b, F.lit(1), F.size(a)) == a) & F.exists(extra, lambda w: ~w.isin(words))
+    return F.coalesce((term != "") & (resolved != "") & ~caps & more, F.lit(False))
+
+
+def extra_words(term: Column, name: Column, stop: list[str] = SHORT_STOP) -> Column:
+    """Whether a name begins with the term and goes on with a word that is no stop word."""
+    rest = F.substring(name, F.length(term) + 1, F.length(name))
+    own = F.filter(F.split(F.trim(rest, F.lit(" ,.")), r"\s+"), lambda w: w != "")
+    return F.startswith(F.lower(name), F.lower(term)) & F.exists(own, lambda w: ~F.lower(F.trim(w, F.lit(".,"))).isin(stop))
+
+
 def normalize_entity(name: Column) -> Column:
     """Lower case, without legal suffixes."""
     return F.array_join(F.filter(F.split(F.lower(name), r"[\s,.]+"), lambda w: (w != "") & ~w.isin(LEGAL_SUFFIXES)), " ")
@@ -136,3 +247,16 @@ def color_kept(color: Column, level: str) -> Column:
     """loose keeps all, moderate green and yellow, strict green; an unknown level keeps all; null reads green."""
     most = {"strict": 0, "moderate": 1}.get(level, 2)
     return color_rank(color) <= most
+
+
+def occurrences(text: Column, word: str) -> Column:
+    """Places, from 1, of a word in a text, overlapping ones too: matches of a lookahead split it, so the text is read once."""
+    between, begins = F.split(text, f"(?={re.escape(word)})"), F.startswith(text, F.lit(word))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
+
+    def add(acc: Column, part: Column) -> Column:
+        found = F.when((acc["at"] > 1) | begins, F.array_append(acc["found"], acc["at"])).otherwise(acc["found"])
+        return F.struct((acc["at"] + F.length(part)).alias("at"), found.alias("found"))
+
+    # Every part but the first begins with the word.
+    return F.aggregate(between, start, add, lambda acc: acc["found"])

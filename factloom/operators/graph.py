@@ -52,8 +52,9 @@ def paths(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     seen = front
     for hop in range(1, most + 1):
         front = front.join(edges, front["node"] == edges["a"]).select("start", F.col("b").alias("node"), F.lit(hop).alias("hops")).distinct()
+        front = front.join(seen.select("start", "node"), ["start", "node"], "left_anti")  # nodes reached before aren't walked on again
         seen = seen.unionByName(front)
-    return seen.groupBy("start", "node").agg(F.min("hops").alias("hops"))
+    return seen
 
 
 def duplicates(facts: DataFrame, keys: list[str], order: list[str], id_col: str) -> DataFrame:

@@ -15,7 +15,7 @@ from factloom.functions import text as tx
 
 def joined(text: Column) -> Column:
     """A text's words between single spaces, one more at either end: phrases of words are found in it as strings."""
-    return F.concat(F.lit(" "), F.array_join(tx.words(tx.clean(text)), " "), F.lit(" "))
+    return tx.composed(F.concat(F.lit(" "), F.array_join(tx.words(tx.clean(text)), " "), F.lit(" ")))
 
 
 def _way(line: Column, parts: Column) -> Column:
@@ -35,35 +35,43 @@ def _way(line: Column, parts: Column) -> Column:
 
 def way(quote: Column, line: Column) -> Column:
     """The fragments' way through joined(); between emphasis marks and colons too if that gives more fragments."""
-    cleaned = tx.clean(quote)
-    plain, finer = tx.fragments(cleaned), tx.struct_fragments(cleaned)
-    return F.coalesce(_way(line, plain), F.when(F.size(finer) > F.size(plain), _way(line, finer)))
+
+    def found(cleaned: Column, line: Column) -> Column:
+        plain, finer = tx.fragments(cleaned), tx.struct_fragments(cleaned)
+        return F.coalesce(_way(line, plain), F.when(F.size(finer) > F.size(plain), _way(line, finer)))
+
+    return tx.let(tx.composed(tx.clean(quote)), lambda cleaned: tx.let(line, lambda own: found(cleaned, own)))
 
 
 def span_of(text: Column, line: Column, found: Column) -> Column:
     """struct<start, end> in the text, from 0, end exclusive, of a way through joined()."""
-    runs = F.regexp_extract_all(tx.clean(text), F.lit(r"\s*\S+"), F.lit(0))
-    # Numbers of the runs that hold a word; what a lambda refers to from outside is worked out anew for each element.
-    real = F.filter(F.transform(runs, lambda r, i: F.when(tx.core(F.regexp_replace(r, r"^\s+", "")) != "", i + 1)), lambda i: i.isNotNull())
     nth = lambda upto: F.regexp_count(F.substring(line, F.lit(1), upto), F.lit(" ")).cast("int")
-    a, b = F.element_at(real, nth(found["first"])), F.element_at(real, (nth(found["last"]) - 1).cast("int"))
-    total = lambda upto: F.aggregate(F.slice(runs, 1, upto), F.lit(0), lambda n, r: n + F.length(r))
     edge = lambda r: F.ltrim(F.regexp_replace(r, r"^\s+", ""), F.lit(tx.EDGE))
-    start = total(a) - F.length(edge(F.element_at(runs, a)))
-    last = F.element_at(runs, b)
-    end = total(b) - (F.length(last) - F.length(F.rtrim(last, F.lit(tx.EDGE))))
-    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+    def between(runs: Column, a: Column, b: Column) -> Column:
+        total = lambda upto: F.aggregate(F.slice(runs, 1, upto), F.lit(0), lambda n, r: n + F.length(r))
+        start = total(a) - F.length(edge(F.element_at(runs, a)))
+        last = F.element_at(runs, b)
+        end = total(b) - (F.length(last) - F.length(F.rtrim(last, F.lit(tx.EDGE))))
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+    def placed(runs: Column) -> Column:
+        # Numbers of the runs that hold a word.
+        real = F.filter(F.transform(runs, lambda r, i: F.when(tx.core(F.regexp_replace(r, r"^\s+", "")) != "", i + 1)), lambda i: i.isNotNull())
+        return tx.let(real, lambda own: between(runs, F.element_at(own, nth(found["first"])), F.element_at(own, (nth(found["last"]) - 1).cast("int"))))
+
+    return tx.let(F.regexp_extract_all(tx.clean(text), F.lit(r"\s*\S+"), F.lit(0)), placed)
 
 
 def locate(quote: Column, text: Column) -> Column:
     """struct<start, end> of a quote in a text; null if it isn't there or is blank."""
-    found = way(quote, joined(text))
-    return F.when(found.isNotNull(), span_of(text, joined(text), found))
+    own = lambda line: tx.let(way(quote, line), lambda found: F.when(found.isNotNull(), span_of(text, line, found)))
+    return tx.let(joined(text), own)
 
 
 def reanchor(text: Column, span: Column) -> Column:
     """The text's own words at a span."""
-    return F.substring(text, span["start"] + 1, span["end"] - span["start"])
+    return tx.let(span, lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]))
 
 
 def _longest(parts: Column) -> Column:
@@ -72,11 +80,11 @@ def _longest(parts: Column) -> Column:
 
 def candidates(quotes: DataFrame, docs: DataFrame, few: int = 10_000) -> DataFrame:
     """(quote_id, doc_id): pairs where the document has the longest word of the quote's fragments, of either split. quotes: quote_id, quote; docs: doc_id, text."""
-    cleaned = tx.clean(F.col("quote"))
+    cleaned = tx.composed(tx.clean(F.col("quote")))
     either = F.array_distinct(F.array_compact(F.array(_longest(tx.fragments(cleaned)), _longest(tx.struct_fragments(cleaned)))))
     anchors = quotes.select("quote_id", F.explode(either).alias("word"))
     n = anchors.limit(few + 1).count()
-    own = docs.select("doc_id", F.explode(F.array_distinct(tx.words(tx.clean(F.col("text"))))).alias("word"))
+    own = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.trim(joined(F.col("text"))), " "))).alias("word"))
     return own.join(F.broadcast(anchors) if n <= few else anchors, "word").select("quote_id", "doc_id").distinct()
 
 
@@ -98,11 +106,21 @@ def context(text: Column, start: Column, end: Column, width: int) -> Column:
 
 
 def entity_in_text(entity: Column, text: Column) -> Column:
-    """Whole, without its legal suffix (three characters at least), or any word of two characters at least."""
-    low, body = F.lower(text), tx.normalize_entity(entity)
-    parts = F.filter(F.split(body, " "), lambda w: F.length(w) >= 2)
-    bounded = F.exists(parts, lambda w: F.concat(F.lit(" "), F.regexp_replace(low, r"\W+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), w, F.lit(" "))))
-    return F.coalesce(low.contains(F.lower(entity)) | ((F.length(body) >= 3) & low.contains(body)) | bounded, F.lit(False))
+    """Whole, without its legal suffix (three characters at least), or any word of two characters at least, by itself; words end at blanks, commas, periods and hyphens."""
+
+    def found(name: Column, text: Column) -> Column:
+        low, body = F.lower(text), tx.normalize_entity(name)
+        parts = F.filter(F.split(name, r"[\s,.\-]+"), lambda w: F.length(w) >= 2)
+        bounded = F.exists(parts, lambda w: F.regexp_like(text, F.concat(F.lit(r"(?iuU)\b\Q"), w, F.lit(r"\E\b"))))
+        return (name != "") & (low.contains(F.lower(name)) | ((F.length(body) >= 3) & low.contains(body)) | bounded)
+
+    return F.coalesce(tx.let(F.trim(tx.composed(entity)), lambda name: tx.let(tx.composed(text), lambda own: found(name, own))), F.lit(False))
+
+
+def entity_class(entity: Column, text: Column, quote: Column) -> Column:
+    """green in text and quote, yellow in the text only, red in neither."""
+    inside = entity_in_text(entity, text)
+    return F.when(inside & entity_in_text(entity, F.coalesce(quote, F.lit(""))), "green").when(inside, "yellow").otherwise("red")
 
 
 def verify(located: Column, quote: Column, level: str) -> Column:

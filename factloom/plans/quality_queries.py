@@ -166,12 +166,12 @@ def run_stats(spark, d):
     return rolled.select(F.coalesce(F.col("doc").cast("string"), F.lit("total")).alias("file"), "total", "green", "suppliers", F.round(F.col("green") / F.col("total"), 3).alias("green_share"))
 
 
-@query("""SELECT event_type AS service, count(*) AS n, min(event_id) AS oldest, max(event_id) AS newest FROM (SELECT * FROM events WHERE event_id >= (SELECT max(event_id) - 5000 FROM events) AND NOT contains(lower(props), '"k": 3')) GROUP BY event_type""")
+@query("""SELECT event_type AS service, count(*) AS n, min(event_id) AS oldest, max(event_id) AS newest FROM (SELECT * FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 10 DAY FROM events) AND NOT contains(lower(props), '"k": 3')) GROUP BY event_type""")
 def cache_stats(spark, d):
-    """A cache table after expiry and eviction by pattern, by service."""
-    rows = table(spark, d, "events").select("event_id", "event_type", "props")
-    newest = rows.agg(F.max("event_id").alias("m"))  # one row
-    live = rows.crossJoin(F.broadcast(newest)).where((F.col("event_id") >= F.col("m") - 5000) & ~F.lower("props").contains('"k": 3'))
+    """A cache table after expiry by time and eviction by pattern, by service."""
+    rows = table(spark, d, "events").select("event_id", "ts", "event_type", "props")
+    newest = rows.agg(F.max("ts").alias("m"))  # one row
+    live = rows.crossJoin(F.broadcast(newest)).where((F.col("ts") >= F.col("m") - F.expr("INTERVAL 10 DAYS")) & ~F.lower("props").contains('"k": 3'))
     return live.groupBy(F.col("event_type").alias("service")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("oldest"), F.max("event_id").alias("newest"))
 
 

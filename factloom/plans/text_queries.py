@@ -66,11 +66,14 @@ def context_window(spark, d):
     return found.select("quote_id", "doc_id", gr.context(F.col("text"), F.col("start"), F.col("end"), 80).alias("context"))
 
 
-@query("""SELECT item_id, part AS n, text AS fragment FROM (SELECT item_id, unnest([1, 2]) AS part, unnest([substr(text, 1, 20), substr(text, 41, 20)]) AS text FROM benchmark)""")
+@query(f"""WITH parts AS (SELECT item_id, unnest(string_split(replace(text, '. ', '…'), '…')) AS part FROM benchmark),
+  cored AS (SELECT item_id, {WORDS_SQL.replace("{x}", CLEAN_SQL.replace("{x}", "part"))} AS ws FROM parts)
+  SELECT item_id, count(*)::INT AS fragments, sum(len(ws))::INT AS words FROM cored WHERE len(ws) > 0 GROUP BY item_id""")
 def quote_fragments(spark, d):
-    joined = F.concat(F.substring("text", 1, 20), F.lit("…"), F.substring("text", 41, 20))
-    parts = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split(joined, r"\.\.\.|…")).alias("p", "fragment"))
-    return parts.select("item_id", (F.col("p") + 1).alias("n"), "fragment")
+    """Fragments of whole passages, with ellipses where sentences end."""
+    parts = tx.fragments(tx.clean(F.replace("text", F.lit(". "), F.lit("…"))))
+    found = table(spark, d, "benchmark").select("item_id", parts.alias("p")).where(F.size("p") > 0)
+    return found.select("item_id", F.size("p").alias("fragments"), F.size(F.flatten("p")).alias("words"))
 
 
 _LEVELS = ("loose", "moderate", "strict")
@@ -93,11 +96,11 @@ _NAMES = "SELECT unnest(['The Inc', 'ting Group', 'idiot Holdings', 'MIT License
 
 
 @query(
-    f"""WITH names AS ({_NAMES}), n AS (SELECT entity, list_filter(string_split_regex(lower(entity), '[\\s,.]+'), lambda w: w <> '' AND NOT list_contains({SUFFIX_SQL}, w)) AS ws FROM names),
-    b AS (SELECT entity, array_to_string(ws, ' ') AS body, ws FROM n)
-    SELECT entity, count(*) AS docs FROM documents, b
-    WHERE contains(lower(text), lower(entity)) OR (length(body) >= 3 AND contains(lower(text), body))
-       OR len(list_filter(ws, lambda w: length(w) >= 2 AND contains(' ' || regexp_replace(lower(text), '[^a-zA-Z0-9_]+', ' ', 'g') || ' ', ' ' || w || ' '))) > 0
+    f"""WITH names AS ({_NAMES}), n AS (SELECT entity, array_to_string(list_filter(string_split_regex(lower(entity), '[\\s,.]+'), lambda w: w <> '' AND NOT list_contains({SUFFIX_SQL}, w)), ' ') AS body,
+      list_filter(string_split_regex(entity, '[\\s,.\\-]+'), lambda w: length(w) >= 2) AS ws FROM names)
+    SELECT entity, count(*) AS docs FROM documents, n
+    WHERE contains(lower(text), lower(trim(entity))) OR (length(body) >= 3 AND contains(lower(text), body))
+       OR len(list_filter(ws, lambda w: regexp_matches(text, '(?i)(^|[^\\pL\\pM\\pN_])' || regexp_escape(w) || '($|[^\\pL\\pM\\pN_])'))) > 0
     GROUP BY entity"""
 )
 def entity_in_text(spark, d):
@@ -209,7 +212,7 @@ def read_page(spark, d):
 def search_passages(spark, d):
     """Overlapping, case-insensitive occurrences, the first ten of each document with their surroundings."""
     docs = table(spark, d, "documents").where(F.lower("text").contains("idiot"))
-    places = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring(F.lower("text"), i, F.lit(5)) == "idiot")
+    places = tx.occurrences(F.lower("text"), "idiot")
     hits = docs.select("doc_id", "text", F.posexplode(F.slice(places, 1, 10)).alias("p", "at"))
     return hits.select("doc_id", (F.col("p") + 1).alias("n"), "at", F.substring("text", F.greatest(F.col("at") - 50, F.lit(1)), F.lit(100)).alias("passage"))
 

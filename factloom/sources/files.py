@@ -104,8 +104,20 @@ def sem_groups(spark: SparkSession, path: str) -> DataFrame:
 
 
 def group_types(groups: DataFrame, group: str) -> DataFrame:
-    """(tui, type_name) of a group by its name or abbreviation."""
-    return groups.where((F.col("name") == group) | (F.col("abbr") == group)).select("tui", "type_name").distinct()
+    """(tui, type_name) of a group by its name, or if no group has that name by its abbreviation, in capitals."""
+    named = groups.where(F.col("name") == group).select("tui", "type_name").distinct()
+    short = groups.where(F.col("abbr") == group.upper()).select("tui", "type_name").distinct()
+    return named.unionByName(short.join(named.limit(1).select(F.lit(1).alias("any")), F.lit(True), "left_anti"))  # against one row or none
+
+
+def type_codes(types: list[str], groups: DataFrame, group: str = "") -> DataFrame:
+    """(tui, type_name) to filter by: explicit names or codes win over the group; a name without a code keeps a null code."""
+    if not types:
+        return group_types(groups, group)
+    asked = groups.sparkSession.createDataFrame([(t, bool(len(t) > 1 and t[0] == "T" and t[1:].isdigit())) for t in types], "t string, is_code boolean")
+    known = groups.select("tui", "type_name").distinct()
+    coded = asked.where("is_code").join(known, F.col("t") == F.col("tui"), "left").select(F.col("t").alias("tui"), "type_name")
+    return coded.unionByName(asked.where("NOT is_code").join(known, F.col("t") == F.col("type_name"), "left").select("tui", F.col("t").alias("type_name")))
 
 
 def log_sink(rows: DataFrame, path: str, columns: list[str]) -> None:
