@@ -14,12 +14,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where the session names none, a temporary one, but only if all runs in one process (tests); on a cluster that would
+    leave checkpoints, indexes and archives on one machine, so it is an error there.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
-    elif context.getCheckpointDir() is None:
+    if context.getCheckpointDir() is None:
+        if named is None:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="factloom-")
         context.setCheckpointDir(named)
     return named or context.getCheckpointDir()
 
