@@ -195,7 +195,7 @@ def nearest(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_co
     packs = cut(valid.select("id", "v").mapInArrow(_packs(PACK, shared), schema))
     asked = valid.where("q").select("id", "v")
     n = asked.count()
-    own = cut(asked.coalesce(max(1, -(-n // QUERY_PACK))).mapInArrow(_packs(QUERY_PACK, shared), schema))
+    own = cut(asked.repartition(max(1, -(-n // QUERY_PACK))).mapInArrow(_packs(QUERY_PACK, shared), schema))
     best = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     found = _pairs(own, packs, radius, dim, top).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     found = cut(found)
@@ -203,7 +203,7 @@ def nearest(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_co
         # Queries with fewer than top rows in the radius: every row is in the full one.
         full = found.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= top).select("row")
         few = _unpacked(own, dim).join(full, "row", "left_anti").drop("row")
-        again = few.coalesce(max(1, -(-n // QUERY_PACK))).mapInArrow(_packs(QUERY_PACK, shared), schema)
+        again = few.repartition(max(1, -(-n // QUERY_PACK))).mapInArrow(_packs(QUERY_PACK, shared), schema)
         again = cut(again)
         more = _pairs(again, packs, BITS, dim, top).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
         found = found.join(full, "row", "left_semi").unionByName(more)

@@ -1,6 +1,7 @@
 """Training-data operators: brute force, round trips, and defined results of odd inputs."""
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,26 @@ def test_exact_dedup(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == 5
 
 
+def test_digest_index_goes_on(spark):
+    path = scratch(spark, "again")
+    docs = spark.createDataFrame([(i, f"text {i % 200}") for i in range(300)], "doc_id long, text string")
+    first = exact_dedup.DigestIndex(spark, path, 8)
+    once = sorted(map(tuple, first.add(docs, batch_id="b1").collect()))
+    assert sum(r[3] for r in once) == 200
+    first.close()
+    again = exact_dedup.DigestIndex(spark, path, 5)
+    assert again.buckets == 8
+    assert sorted(map(tuple, again.add(docs, batch_id="b1").collect())) == once  # a retry
+    assert not any(r.kept for r in again.add(docs, batch_id="b2").collect())
+    small = again.compact(scratch(spark, "small"))
+    assert small.rows().count() == again.rows().count() == 200
+    assert not any(r.kept for r in small.add(docs).collect())
+    # Nearly all rows are one text.
+    hot = spark.createDataFrame([(i, "same" if i else "other") for i in range(500)], "doc_id long, text string")
+    got = exact_dedup.DigestIndex(spark, scratch(spark, "hot")).add(hot).collect()
+    assert {(r.keep_id, r.group_size) for r in got} == {(499, 499), (0, 1)} and len(got) == 500 and sum(r.kept for r in got) == 2
+
+
 def test_sharding(spark, odd, none):
     got = sharding.shard_documents(odd, 4).toPandas()
     assert len(got) == len(ODD)
@@ -99,6 +120,25 @@ def test_url_filter_blocks_by_reputation(spark):
     assert got == {("bad0.org", None, "block"), ("bad1.org", None, "block"), ("good0.org", None, "allow"), ("good1.org", None, "allow")}
 
 
+def test_url_filter_posterior(spark):
+    """Five labels, three bad, one a host, block none; a planted bad host is blocked beside a clean one of its domain; rules as a table give the same."""
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/x") for i in range(5)], "page_id long, url string")
+    bad = spark.createDataFrame([(i, int(i < 3)) for i in range(5)], "page_id long, bad int")
+    assert {r.verdict for r in url_filter.judge_urls(pages, bad).collect()} == {"allow"}
+    urls = [f"http://{'bad.farm.co.uk' if i % 10 == 0 else f'h{i % 10}.site{i % 3}.com'}/p{i}" for i in range(600)] + ["http://new.site1.com/", "http://x.net/es/", "http://q.example.com/en/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    bad = spark.createDataFrame([(i, int(i % 10 == 0 or i % 100 == 7)) for i in range(600)], "page_id long, bad int")
+    got = {r.page_id: (r.host, r.rule, r.verdict) for r in url_filter.judge_urls(pages, bad, rules=url_filter.RULES[1:]).collect()}
+    assert {h for h, rule, v in got.values() if v == "block" and rule is None} == {"bad.farm.co.uk"}
+    table = spark.createDataFrame(list(url_filter.RULES[1:]), "verdict string, host string, path string")
+    assert {r.page_id: (r.host, r.rule, r.verdict) for r in url_filter.judge_urls(pages, bad, rules=table).collect()} == got
+    # The grid against exact sums: Beta(a, b) over x is the chance of under a heads in a + b - 1 throws.
+    for a, b, x in ((3, 4, 0.5), (30, 12, 0.5), (2, 90, 0.1), (1, 1, 0.5)):
+        want = sum(math.comb(a + b - 1, j) * x**j * (1 - x) ** (a + b - 1 - j) for j in range(a))
+        own = spark.range(1).select(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")).select(url_filter.posterior_over(F.col("a"), F.col("b"), x).alias("p")).first()["p"]
+        assert abs(own - want) < 2e-3
+
+
 def test_warc(spark):
     long = "é<p>" * 60_000
     rows = [(1, "http://a\r\n", "x" * 2000), (5, None, "x" * 2000), (None, "u", "x" * 2000), (2, "u", None), (3, "u", ""), (4, "u", long), (4, "u", long)]
@@ -269,7 +309,7 @@ def test_neighbours(spark):
         s = unit @ unit[q]
         s[q] = -9
         hits += len(set(np.argsort(-s)[:5]) & set(got[got.query_id == q].vec_id))
-    assert hits / 40 >= 0.85  # the copy 904 takes one place
+    assert hits / 39 >= 0.9  # the copy 904 takes one place
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
