@@ -1,5 +1,7 @@
 """Training-data operators: brute force, round trips, and defined results of odd inputs."""
 
+import glob
+import gzip
 import hashlib
 import math
 
@@ -150,7 +152,19 @@ def test_warc(spark):
         want = next((h or "").encode() for p, _, h in rows if p == r.page_id)
         assert r.payload_bytes == len(want) and r.payload_digest == hashlib.sha1(want).hexdigest()
     assert sorted((r.page_id or 0, r.refers_to) for r in got if r.record_type == "revisit") == [(0, 5), (1, 5)]
-    assert [len(s) <= 7 and s.decode() is not None for s in warc.segments("é€x".encode() * 9, 7)]
+    chunks = [r for r in warc.read_chunks(spark, path).collect() if r.page_id == 4]
+    assert len(chunks) == 2 * -(-len(long.encode()) // warc.SEGMENT) and max(len(r.bytes) for r in chunks) == warc.SEGMENT
+    assert b"".join(r.bytes for r in chunks[: len(chunks) // 2]) == long.encode()
+    small = scratch(spark, "w")
+    ends = [(1, "u", "a\r\n"), (2, "u", "\r\n\r\nWARC/1.1\r\n"), (3, "u", "b\r"), (4, "u", "x\0y\r\n\r"), (5, "u", "€" * 9)]
+    warc.write_warc(spark.createDataFrame(ends, "page_id long, url string, html string"), small, segment=4)
+    assert {r.page_id: r.payload_digest for r in warc.read_warc(spark, small).collect()} == {i: hashlib.sha1(h.encode()).hexdigest() for i, _, h in ends}
+    files = [f for f in glob.glob(f"{small.removeprefix('file:')}/*.warc.gz")]
+    assert sum(open(f, "rb").read().count(b"\x1f\x8b\x08") for f in files) >= sum(-(-len(h.encode()) // 4) for _, _, h in ends)
+    assert sum(gzip.open(f).read().count(b"WARC-Type") for f in files) == sum(-(-len(h.encode()) // 4) for _, _, h in ends)
+    none = scratch(spark, "w")
+    warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), none)
+    assert warc.read_warc(spark, none).count() == 0
 
 
 def brute_fingerprint(text, k):
