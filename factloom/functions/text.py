@@ -54,8 +54,16 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 def composed(text: Column) -> Column:
     """Marks joined to the characters before them (NFC, but for the order of several marks); only texts that hold marks are worked on."""
-    step = lambda t, p: F.replace(t, F.substring(p, 1, 2), F.substring(p, 3, 1))
-    return let(text, lambda t: F.when(t.rlike(r"\p{M}"), F.aggregate(F.split(F.lit(_compositions()), ","), t, step)).otherwise(t))
+    known = "," + _compositions()
+
+    def once(t: Column) -> Column:
+        # Only what the text holds is looked up: characters with the mark behind them, each once.
+        held = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?s)\P{M}\p{M}"), F.lit(0)))
+        at = lambda pair: F.call_function("locate", F.concat(F.lit(","), pair), F.lit(known))
+        return F.aggregate(held, t, lambda acc, pair: let(at(pair), lambda n: F.when(n > 0, F.replace(acc, pair, F.substring(F.lit(known), n + 3, F.lit(1)))).otherwise(acc)))
+
+    # As many rounds as marks that one letter can take in turn.
+    return let(text, lambda t: F.when(t.rlike(r"\p{M}"), let(let(once(t), once), once)).otherwise(t))
 
 
 def char_chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
