@@ -309,6 +309,56 @@ def test_lm_keeps_every_gram(spark):
         assert np.allclose([got[i] for i in range(len(texts))], want, rtol=0, atol=1e-9)
 
 
+def test_lm_scores_against_brute_force(spark):
+    """Prediction by partial matching by dictionaries: n - 1/2 for what a context has seen, the halves escape, seen symbols are excluded below."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join("".join(rng.choice(list("abcé"), rng.integers(1, 6))) for _ in range(rng.integers(0, 12))) for _ in range(40)] + ["", "zzz a"]
+    docs = [b" ".join(lm_scoring.tokens(t.encode())) for t in texts]
+    order, seen = lm_scoring.ORDER, {}
+    for i, doc in enumerate(docs):
+        line = lm_scoring.PAD * order + doc + lm_scoring.END
+        for at in range(order, len(line)) if i % 4 else ():
+            for k in range(order + 1):
+                own = seen.setdefault(line[at - k : at], {})
+                own[line[at]] = own.get(line[at], 0) + 1
+
+    def chance(context, symbol):
+        p, out = 1.0, set()
+        for k in range(order, -1, -1):
+            left = {s: n for s, n in seen.get(context[len(context) - k :], {}).items() if s not in out}
+            if left and symbol in left:
+                return p * (left[symbol] - 0.5) / sum(left.values())
+            if left:
+                p *= len(left) / 2 / sum(left.values())
+                out |= left.keys()
+        return p / (256 - len(seen[b""]))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.score_documents(df, F.col("doc_id") % 4 == 0).collect()}
+    for i, doc in enumerate(docs):
+        line = lm_scoring.PAD * order + doc + lm_scoring.END
+        want = sum(np.log10(chance(line[at - order : at], line[at])) for at in range(order, len(line)))
+        assert got[i] == pytest.approx(want, abs=1e-6)
+
+
+def test_differencing_against_brute_force(spark):
+    """Two lists at a time, the widest first, added largest to smallest."""
+    rng = np.random.default_rng(2)
+    for n, k in ((1, 4), (7, 3), (60, 5)):
+        sizes = rng.integers(1, 1000, n)
+        nodes = {i: sorted([int(v)] + [0] * (k - 1), reverse=True) for i, v in enumerate(sizes)}
+        for number in range(n, 2 * n - 1):
+            a, b = sorted(nodes, key=lambda i: (nodes[i][-1] - nodes[i][0], i))[:2]
+            nodes[number] = sorted((x + y for x, y in zip(nodes.pop(a), reversed(nodes.pop(b)), strict=True)), reverse=True)
+        sums = np.zeros((n, k))
+        sums[:, 0] = sizes
+        total, _ = sharding.difference(sums)
+        assert total.max() - total.min() == next(iter(nodes.values()))[0] - next(iter(nodes.values()))[-1]
+    docs = spark.createDataFrame([(i, "x" * int(v)) for i, v in enumerate(rng.integers(1, 3000, 2000))], "doc_id long, text string")
+    shards = sharding.shard_documents(docs, 8).groupBy("shard").agg(F.sum("size").alias("b")).toPandas()["b"]
+    assert len(shards) == 8 and shards.max() - shards.min() <= 8
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 16))
