@@ -16,7 +16,7 @@ Links of wide fingerprints, by similarity. No chain of a wide radius is selectiv
 alone; chains of consecutive equal segments are taken as keys at many places (each
 20 bits of 5 segments), and pairs that meet must pass the pigeonring of the sketch:
 some start whose chains stay within their share of the radius. A pair at the least
-similarity meets with probability over 0.9, at 0.85 over 0.98 (see README). Pairs
+similarity meets with probability over 0.99 (see README). Pairs
 whose sketches are very close are links; of the others, those between different
 components of these are held against the texts: the Jaccard similarity of their
 sets of shingles decides.
@@ -26,6 +26,11 @@ key. Where bits alone decide, only a minimum spanning forest of a key's links is
 out, which connects what the links within any smaller radius connect; where texts decide,
 every pair that such sure links don't connect; they are decided closest first, in rounds.
 
+Hot keys. A task holds at most ``most`` rows of a key; the rows of a fuller key are passed on. Of 64 bits, two
+fingerprints within the radius that are equal in a key's 4 segments are equal in one of the other 4 as well (pigeonhole), so
+these rows are keyed anew by the key and each of those. What is still too full, and wide fingerprints, are dealt into
+blocks, and each two blocks meet in a group of their own: no pair is lost, and no task holds more than two blocks.
+
 Defined results: null and empty texts have no shingles and fingerprint zero; a text of
 fewer words than a shingle is one shingle; null ids never are a component's id unless
 all its ids are null; repeated rows have one result each; an empty table an empty one.
@@ -51,9 +56,11 @@ BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float32)
 #: The two segments of the next three that are equal.
 CHOICES = ((2, 3), (2, 4), (3, 4))
 
+#: Rows of one key that a task compares; fuller keys are split.
+MOST = 8192
 #: The pipeline's: words a shingle, words of 64 bits, keys of so many bits, words of the sketch, bits in which it may
-#: differ, bits up to which the texts needn't be compared, least similarity. Of 256 bits, 39 (deviation 6) differ at 0.8.
-WIDE = {"shingle": 5, "words": 20, "key_bits": 20, "sketch": 4, "radius": 56, "sure": 20, "least": 0.8}
+#: differ, bits up to which the texts needn't be compared, least similarity, rows of a key. Of 256 bits, 39 (deviation 6) differ at 0.8.
+WIDE = {"shingle": 5, "words": 40, "key_bits": 20, "sketch": 4, "radius": 56, "sure": 20, "least": 0.8, "most": MOST}
 #: Ids (of documents to compare) that may be broadcast; more are joined by merging.
 BROADCAST_IDS = 500_000
 
@@ -208,20 +215,33 @@ def every_pair(fps: np.ndarray, radius: int, sure: int) -> Iterator[tuple[np.nda
         yield tuple(np.concatenate(held, axis=1))
 
 
-def _meet(radius: int, sketch: int, sure: int | None = None):
+def _meet(radius: int, sketch: int, sure: int | None = None, most: int | None = None):
     """Streams rows (key, node, fp) sorted by key; gives links (a, b, bits that differ) of nodes that meet under a key.
 
-    A spanning forest of them, or with ``sure`` those of every_pair().
+    A spanning forest of them, or with ``sure`` those of every_pair(). Rows of keys that have more than ``most`` are given
+    back instead: a is the node, b null, key and fp their own.
     """
+    names = ["a", "b", "bits", "key", "fp"]
+
+    def back(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        n = len(keys)
+        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * sketch), n, [None, pa.py_buffer(np.ascontiguousarray(fps).tobytes())])
+        return pa.record_batch([pa.array(nodes), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(keys), raw.cast(pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.zeros(0, np.int64)
         nodes = np.zeros(0, np.int64)
         fps = np.zeros((0, sketch), np.uint64)
+        hot = None  # the key whose rows are being passed on
 
         def links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             size = np.diff(np.r_[first, len(keys)])
+            if most is not None:
+                full = (size > most) | (keys[first] == hot) if hot is not None else size > most
+                for start, n in zip(first[full], size[full], strict=True):
+                    yield back(keys[start : start + n], nodes[start : start + n], fps[start : start + n])
+                first, size = first[~full], size[~full]
             pairs = first[size == 2]
             pairs = pairs[near(fps[pairs], fps[pairs + 1], radius)] if len(pairs) else pairs
             a, b = [pairs], [pairs + 1]
@@ -231,7 +251,7 @@ def _meet(radius: int, sketch: int, sure: int | None = None):
                 a.clear()
                 b.clear()
                 bits = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1).astype(np.int32)
-                return pa.record_batch([pa.array(nodes[i]), pa.array(nodes[j]), pa.array(bits)], ["a", "b", "bits"])
+                return pa.record_batch([pa.array(nodes[i]), pa.array(nodes[j]), pa.array(bits), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.binary())], names)
 
             for start, n in zip(first[size > 2], size[size > 2], strict=True):
                 own = fps[start : start + n]
@@ -257,6 +277,10 @@ def _meet(radius: int, sketch: int, sure: int | None = None):
             if end:
                 yield from links(keys[:end], nodes[:end], fps[:end])
                 keys, nodes, fps = keys[end:], nodes[end:], fps[end:]
+            if most is not None and (len(keys) > most or keys[0] == hot):
+                hot = int(keys[0])
+                yield back(keys, nodes, fps)
+                keys, nodes, fps = keys[:0], nodes[:0], fps[:0]
         if len(keys):
             yield from links(keys, nodes, fps)
 
@@ -276,12 +300,20 @@ def ring_keys(fp) -> list:
     return keys
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+def finer_keys(key, fp):
+    """Of a key of ring_keys() and a fingerprint (long columns): the key with each of the 4 segments that it leaves out."""
+    others = [[(start + at) % 8 for at in range(2, 8) if at not in choice] for start in range(8) for choice in CHOICES]
+    left = F.element_at(F.array(*[F.array(*map(F.lit, own)) for own in others]), (F.shiftrightunsigned(key, 32) + 1).cast("int"))
+    value = lambda i: F.call_function("shiftrightunsigned", fp, 8 * i).bitwiseAND(F.lit(255))
+    return F.transform(left, lambda i: F.xxhash64(key, i, value(i)))
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """nodes: (fp long), distinct. Links (a, b) that connect all within radius (at most 3)."""
     if radius > 3:
         raise ValueError("the keys hold every link up to 3 bits")
     rows = nodes.select(F.explode(F.array(*ring_keys(F.col("fp")))).alias("key"), F.col("fp").alias("node"))
-    return _linked(rows.withColumn("fp", _little(F.col("node"))), radius, 1)
+    return _linked(rows.withColumn("fp", _little(F.col("node"))), radius, 1, finer=finer_keys, most=most)
 
 
 def _little(x):
@@ -290,11 +322,29 @@ def _little(x):
     return F.unhex(F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)]))
 
 
-def _linked(rows: DataFrame, radius: int, sketch: int, sure: int | None = None) -> DataFrame:
+def _linked(rows: DataFrame, radius: int, sketch: int, sure: int | None = None, finer=None, most: int = MOST) -> DataFrame:
+    """Links (a, b, bits) of rows (key, node, fp) that meet under a key; keys of more than ``most`` rows are split, by ``finer`` first."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "node")
-    return dealt.select("key", "node", "fp").mapInArrow(_meet(radius, sketch, sure), "a long, b long, bits int")
+
+    def met(rows: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
+        dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "node")
+        both = cut(dealt.select("key", "node", "fp").mapInArrow(_meet(radius, sketch, sure, most), "a long, b long, bits int, key long, fp binary"))
+        return both.where("b IS NOT NULL").select("a", "b", "bits"), both.where("b IS NULL").select("key", F.col("a").alias("node"), "fp")
+
+    found, hot = met(rows, most)
+    if finer is not None and not hot.isEmpty():
+        more, hot = met(hot.select(F.explode(finer(F.col("key"), F.col("node"))).alias("key"), "node", "fp"), most)
+        found = found.unionByName(more)
+    if not hot.isEmpty():
+        sizes = cut(hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(1, most // 2))).cast("int").alias("blocks")))
+        few = sizes.count() <= BROADCAST_IDS
+        dealt = hot.join(F.broadcast(sizes) if few else sizes.hint("merge"), "key")
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        more, _ = met(dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "fp"), None)
+        found = found.unionByName(more)
+    return found
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -398,7 +448,7 @@ def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = [F.conv(k, 16, 10).cast("long") for k in keys]
     short = F.substring(F.col("fp"), 1, 8 * sketch)
     dealt = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", short.alias("fp"))
-    found = cut(_linked(dealt, how["radius"], sketch, how["sure"]).where("a <> b").distinct())
+    found = cut(_linked(dealt, how["radius"], sketch, how["sure"], most=how["most"]).where("a <> b").distinct())
     sure = cut(components(found.where(F.col("bits") <= how["sure"])))
     # What is left to decide: pairs between different components.
     ends = found.where(F.col("bits") > how["sure"])

@@ -261,6 +261,54 @@ def test_ring_keys_lose_no_link(spark):
             assert i == j or root[int(v)] == root[int(values[j])]
 
 
+@pytest.mark.parametrize("most", [8, 60])
+def test_hot_keys_lose_no_link(spark, most):
+    """Half of the rows are equal in three segments of four: their keys are split by further segments, then into blocks."""
+    rng = np.random.default_rng(4)
+    loose = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+    tight = (rng.integers(0, 6, 150, dtype=np.uint64) << np.uint64(40)) | np.uint64(0x0000_0012_3456_789A)
+    fps = set(loose.tolist()) | {int(t) ^ sum(1 << int(i) for i in rng.choice(60, rng.integers(0, 4), replace=False)) for t in tight.tolist()}
+    values = np.array(sorted(fps), np.uint64)
+    root = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(int(v),) for v in values], "fp long"), most=most)).collect()}
+    near = [(i, j) for i, v in enumerate(values) for j in np.flatnonzero(np.bitwise_count(v ^ values) <= 3) if j < i]
+    assert len(near) > 100
+    own = list(range(len(values)))
+    for i, j in near:
+        own = [own[j] if x == own[i] else x for x in own]
+    assert all((root.get(int(values[i]), i) == root.get(int(values[j]), j)) == (own[i] == own[j]) for i in range(len(values)) for j in range(i))
+
+
+def test_meet_passes_full_keys_on():
+    """Whole, however they are cut into batches; the rows of other keys are compared."""
+    fps = [np.array([v], np.uint64).tobytes() for v in (1, 3, 7, 15, 31, 1, 3)]
+    keys = pa.array([1, 1, 1, 1, 1, 2, 2])
+    rows = pa.record_batch([keys, pa.array(range(7)), pa.array(fps, pa.binary())], ["key", "node", "fp"])
+    for size in (1, 2, 3, 7):
+        out = list(simhash._meet(3, 1, None, 4)(rows.slice(i, size) for i in range(0, 7, size)))
+        got = [r for batch in out for r in batch.to_pylist()]
+        assert sorted((r["a"], r["key"], r["fp"]) for r in got if r["b"] is None) == [(i, 1, fps[i]) for i in range(5)]
+        assert [{r["a"], r["b"]} for r in got if r["b"] is not None] == [{5, 6}]
+
+
+def test_near_dedup_finds_pairs_near_the_threshold(spark):
+    """Pairs of similarity 0.8 to 0.85, also where keys are split into blocks."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(150):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 300)]
+        other = list(words)
+        for at in rng.choice(np.arange(5, 295, 6), 6, replace=False):
+            other[at] = "x"
+        texts += [" ".join(words), " ".join(other)]
+    own = [set(simhash.shingle_hashes(t.encode().split(), 5)) for t in texts]
+    alike = [i for i in range(0, 300, 2) if 0.8 <= len(own[i] & own[i + 1]) / len(own[i] | own[i + 1]) <= 0.85]
+    assert len(alike) > 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    roots = [{r.doc_id: r.component_id for r in simhash.wide_components(df, how=how).collect()} for how in ({}, {"most": 2})]
+    assert sum(roots[0][i] == roots[0][i + 1] for i in alike) >= 0.96 * len(alike)
+    assert roots[0] == roots[1]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     root = {r.node: r.root for r in components(edges).collect()}
