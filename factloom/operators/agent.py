@@ -105,3 +105,79 @@ def merge(earlier: DataFrame, agent: DataFrame, id_col: str = "_id") -> DataFram
             new = F.map_concat(F.map_filter(some(old), lambda k, v: ~F.map_contains_key(theirs_too, k)), theirs_too)  # noqa: B023
         out.append(F.when(F.col("is_agent"), new).otherwise(old).alias(c))
     return both.select(*out)
+
+
+def add_triples(asked: DataFrame, docs: DataFrame, relations: list[str], labels: dict[str, list[str]], known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts an agent adds: (those accepted, one a key of their document), (doc, seq, error of those refused).
+
+    asked: doc, seq (its order), rel_type, from_label, from_pk, from_props, from_term, to_label, to_pk, to_props, to_term,
+    rel_props (map of strings), rel_lists (map of lists), supporting_quote; docs: doc, text; labels: each kind of node with
+    the vocabularies it allows (none: any); known: cui, sabs.
+
+    Refused, by the first that holds: an unknown relation or kind; a code known only in vocabularies not allowed; a side
+    without its key; a quote not in the text beside a term not in it. A quote is kept in the text's own words. Later
+    facts of a key give it their quotes: one that is in the text replaces one that isn't, or is added if not held
+    already; one that isn't is kept, and flagged, only where there is none. Properties of a later fact win, lists are united.
+    A property is a string in all facts of a key or a list in all. Facts of one key of one document meet in one
+    row: as many as an agent's session adds.
+    """
+    empty = lambda kind: F.create_map().cast(kind)
+    strings, lists = "map<string,string>", "map<string,array<string>>"
+    rows = asked.withColumn("rel_props", F.coalesce("rel_props", empty(strings))).withColumn("rel_lists", F.coalesce("rel_lists", empty(lists)))
+    own = F.nullif(F.coalesce("supporting_quote", F.lit("")), F.lit(""))
+    rows = rows.withColumn("quote", F.coalesce(own, F.try_element_at("rel_props", F.lit("supporting_quote")), F.lit("")))
+    rows = rows.withColumn("rel_props", F.when(own.isNull(), F.map_filter("rel_props", lambda k, _: k != "supporting_quote")).otherwise(F.col("rel_props")))
+    allowed = F.create_map(*[F.lit(x) for label, vocabularies in labels.items() for x in (label, vocabularies)]).cast(lists)
+    for s in ("from", "to"):
+        sabs = known.select(F.col("cui").alias(f"{s}_cui"), F.col("sabs").alias(f"{s}_sabs"))
+        rows = rows.withColumn(f"{s}_cui", F.nullif(F.try_element_at(f"{s}_props", F.lit("cui")), F.lit(""))).join(sabs, f"{s}_cui", "left")
+    rows = rows.join(docs.select("doc", "text"), "doc", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = rows.withColumn("anchored", F.when(F.col("quote") != "", grounding.reanchor(F.col("text"), grounding.locate(F.col("quote"), F.col("text")))))
+    rows = rows.withColumn("unlocated", (F.col("quote") != "") & F.col("anchored").isNull()).withColumn("quote", F.coalesce("anchored", "quote"))
+
+    def kind(s: str) -> Column:
+        return F.when(~F.coalesce(F.col(f"{s}_label").isin(*labels), F.lit(False)), F.concat(F.lit("unknown kind "), F.coalesce(f"{s}_label", F.lit(""))))
+
+    def vocabulary(s: str) -> Column:
+        may = F.coalesce(F.try_element_at(allowed, F.col(f"{s}_label")), F.array().cast("array<string>"))
+        sabs = F.coalesce(f"{s}_sabs", F.array().cast("array<string>"))
+        return F.when((F.size(may) > 0) & (F.size(sabs) > 0) & ~F.arrays_overlap(sabs, may), F.concat(F.lit("vocabulary of "), f"{s}_label"))
+
+    def key(s: str) -> Column:
+        return F.when(~F.coalesce(F.map_contains_key(F.col(f"{s}_props"), F.col(f"{s}_pk")), F.lit(False)), F.lit(f"{s} side without key"))
+
+    def grounded(s: str) -> Column:
+        term = F.trim(F.coalesce(f"{s}_term", F.lit("")))
+        return F.when(F.col("unlocated") & (term != "") & ~grounding.entity_in_text(term, F.col("text")), F.lit(f"{s} term not in the text"))
+
+    relation = F.when(~F.coalesce(F.col("rel_type").isin(*relations), F.lit(False)), F.concat(F.lit("unknown relation "), F.coalesce("rel_type", F.lit(""))))
+    rows = rows.withColumn("error", F.coalesce(relation, *[check(s) for check in (kind, vocabulary, key, grounded) for s in ("from", "to")]))
+    refused = rows.where("error IS NOT NULL").select("doc", "seq", "error")
+    rows = rows.where("error IS NULL")
+    rows = rows.withColumns({f"{s}_key": F.element_at(f"{s}_props", F.col(f"{s}_pk")) for s in ("from", "to")})
+
+    def quoted(acc: Column, x: Column) -> Column:
+        bare = F.regexp_replace(x["quote"], r"[. ]+$", "")
+        put = lambda quote, unlocated: F.struct(quote.alias("quote"), unlocated.alias("unlocated"))
+        joined = F.when(acc["quote"] == "", x["quote"]).otherwise(F.regexp_replace(F.concat(acc["quote"], F.lit(" / "), x["quote"]), r"^[ /]+|[ /]+$", ""))
+        replace = ~x["unlocated"] & acc["unlocated"]
+        more = ~x["unlocated"] & (bare != "") & ~acc["quote"].contains(bare)
+        first = x["unlocated"] & (F.trim(acc["quote"]) == "")
+        return F.when((x["quote"] != "") & (replace | first), put(x["quote"], x["unlocated"])).when((x["quote"] != "") & more, put(joined, F.lit(False))).otherwise(acc)
+
+    def united(acc: Column, x: Column) -> Column:
+        both = lambda _, a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.concat(a, F.filter(b, lambda v: ~F.array_contains(a, v))))
+        return F.map_zip_with(acc, x["rel_lists"], both)
+
+    by = ["doc", "rel_type", "from_key", "to_key"]
+    firsts = ["from_label", "from_pk", "from_props", "from_term", "to_label", "to_pk", "to_props", "to_term"]
+    met = rows.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("seq", "quote", "unlocated")), lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)).alias("quotes"),
+        F.array_sort(F.collect_list(F.struct("seq", "rel_props", "rel_lists")), lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)).alias("props"),
+        F.min_by(F.struct("seq", *firsts), "seq").alias("first"),
+    )
+    said = F.aggregate("quotes", F.struct(F.lit("").alias("quote"), F.lit(False).alias("unlocated")), quoted)
+    props = F.aggregate("props", empty(strings), lambda acc, x: F.map_zip_with(acc, x["rel_props"], lambda _, a, b: F.coalesce(b, a)))
+    added = met.select(*by, "first.seq", *[f"first.{c}" for c in firsts], props.alias("rel_props"), F.aggregate("props", empty(lists), united).alias("rel_lists"), said.alias("said"))
+    terms = {f"{s}_term": F.nullif(F.trim(f"{s}_term"), F.lit("")) for s in ("from", "to")}
+    return added.withColumn("supporting_quote", F.nullif("said.quote", F.lit(""))).withColumn("quote_unlocatable", F.col("said.unlocated")).drop("said").withColumns(terms), refused

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    for name in ("text_queries", "graph_queries", "quality_queries", "service_queries", "build_queries"):
+    for name in ("text_queries", "graph_queries", "quality_queries", "service_queries", "build_queries", "review_queries"):
         importlib.import_module(f"factloom.plans.{name}")
 
 

@@ -123,3 +123,8 @@ def type_codes(types: list[str], groups: DataFrame, group: str = "") -> DataFram
 def log_sink(rows: DataFrame, path: str, columns: list[str]) -> None:
     """The listed columns as JSON lines, appended; nulls are left out."""
     rows.select(*[c for c in columns if c in rows.columns]).write.mode("append").json(path)
+
+
+def error_sink(failed: DataFrame, path: str) -> None:
+    """Entities that couldn't be resolved (entity, label, error) as JSON lines with the time, appended."""
+    failed.select("entity", "label", "error", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("ts")).write.mode("append").json(path)
