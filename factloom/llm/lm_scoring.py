@@ -40,13 +40,15 @@ ORDER = 5
 NODES = 1 << 24
 #: Bytes of the context by which the trie is dealt, and distinct grams that a part has on average, at most.
 SHARED = 3
-PART = 1 << 20
+PART = 1 << 19
 HEAD = 1 << 19
 #: No UTF-8 text has these bytes: the end symbol, and what stands before a text.
 END, PAD = b"\xff", b"\xfe"
 LOWERED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Words or grams that a task gathers before it hands them on.
 GATHER = 1 << 20
+#: Rows that it hands on at once.
+GIVEN = 1 << 16
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -77,43 +79,57 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
 COUNTED = "word binary, gram long, n long, times long"
 
 
+def _merged(*held: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Of several (distinct grams, and columns to sum), one; a column at a time, as all at once take much memory."""
+    keys = np.concatenate([x[0] for x in held])
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], *(np.add.reduceat(np.concatenate(x)[by], first) for x in list(zip(*held, strict=True))[1:])
+
+
 def _count(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
         #: Distinct grams, how often they are learnt, how often they occur in all.
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            keys, counts, times = (np.concatenate(x) for x in zip(*held, strict=True))
-            by = np.argsort(keys, kind="stable")
-            keys, counts, times = keys[by], counts[by], times[by]
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            return keys[first], np.add.reduceat(counts, first), np.add.reduceat(times, first)
-
-        def out_words() -> pa.RecordBatch:
-            n = len(words)
-            found = [pa.array(list(words), pa.binary()), pa.nulls(n, pa.int64()), pa.array(list(words.values()), pa.int64()), pa.nulls(n, pa.int64())]
-            words.clear()
-            return pa.record_batch(found, ["word", "gram", "n", "times"])
+        held: list[tuple[np.ndarray, ...]] = []
+        docs: dict[bool, list[bytes]] = {True: [], False: []}
+        size = 0
 
-        def out_grams() -> pa.RecordBatch:
-            keys, counts, times = merged()
-            held.clear()
-            return pa.record_batch([pa.nulls(len(keys), pa.binary()), pa.array(keys.astype(np.int64)), pa.array(counts), pa.array(times)], ["word", "gram", "n", "times"])
+        def out_words() -> Iterator[pa.RecordBatch]:
+            found, n = list(words), list(words.values())
+            words.clear()
+            for lo in range(0, len(found), GIVEN):
+                some, many = found[lo : lo + GIVEN], n[lo : lo + GIVEN]
+                yield pa.record_batch([pa.array(some, pa.binary()), pa.nulls(len(some), pa.int64()), pa.array(many, pa.int64()), pa.nulls(len(some), pa.int64())], ["word", "gram", "n", "times"])
+
+        def out_grams() -> Iterator[pa.RecordBatch]:
+            columns = held.pop()
+            for lo in range(0, len(columns[0]), GIVEN):
+                keys, counts, times = (x[lo : lo + GIVEN] for x in columns)
+                yield pa.record_batch([pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(counts), pa.array(times)], ["word", "gram", "n", "times"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """Takes the gathered texts in, and hands on what has become too much."""
+            for learnt, some in docs.items():
+                if some:
+                    values = grams(some, order)[0]
+                    some.clear()
+                    values.sort()
+                    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+                    times = np.diff(np.r_[first, len(values)])
+                    held.append((values[first], times if learnt else np.zeros_like(times), times))
+            # The small are merged first; into the large one when they are a quarter of it.
+            while len(held) > 1 and 4 * len(held[-1][0]) >= len(held[-2][0]):
+                held[-2:] = [_merged(*held[-2:])]
+            if sum(len(x[0]) for x in held) > 2 * GATHER:
+                held[:] = [_merged(*held)]
+                if 2 * len(held[0][0]) > 3 * GATHER:
+                    yield from out_grams()
+            if len(words) > GATHER // 4:
+                yield from out_words()
 
         for batch in batches:
-            docs: dict[bool, list[bytes]] = {True: [], False: []}
-            size = 0
-
-            def flush() -> None:
-                for learnt, some in docs.items():
-                    if some:
-                        values = np.sort(grams(some, order)[0])
-                        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-                        times = np.diff(np.r_[first, len(values)])
-                        held.append((values[first], times if learnt else np.zeros_like(times), times))
-                        some.clear()
-
             for learnt, text in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
                 found = tokens(text)
                 if learnt:
@@ -121,19 +137,13 @@ def _count(order: int):
                 docs[bool(learnt)].append(b" ".join(found))
                 size += len(docs[bool(learnt)][-1])
                 if size > 1_000_000:
-                    flush()
+                    yield from flush()
                     size = 0
-            flush()
-            if len(held) > 1:
-                held[:] = [merged()]
-            if len(words) > GATHER:
-                yield out_words()
-            if held and len(held[0][0]) > 4 * GATHER:
-                yield out_grams()
-        if words:
-            yield out_words()
+        yield from flush()
+        yield from out_words()
         if held:
-            yield out_grams()
+            held[:] = [_merged(*held)]
+            yield from out_grams()
 
     return run
 
@@ -279,8 +289,8 @@ def _part(shared, order: int, below: int):
         keys, learnt = keys.astype(np.uint64), np.flatnonzero(n > 0)
         counts = shared.value + [_level(keys[learnt], n[learnt].astype(np.float64), i) for i in range(below, order + 1)]
         model = Model(counts, [_whole(*c) for c in counts])
-        for at in range(0, len(keys), 1 << 18):
-            some = slice(at, at + (1 << 18))
+        for at in range(0, len(keys), GIVEN):
+            some = slice(at, at + GIVEN)
             yield pa.record_batch([pa.array(keys[some].astype(np.int64)), pa.array(times[some]), pa.array(model.scores(keys[some]))], ["gram", "times", "score"])
 
     return run

@@ -4,9 +4,11 @@ import glob
 import gzip
 import hashlib
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import sentencepiece
 import xxhash
@@ -357,6 +359,25 @@ def test_lm_keeps_every_gram(spark):
         assert np.allclose([got[i] for i in range(len(texts))], want, rtol=0, atol=1e-9)
 
 
+def test_lm_counts_in_bounded_memory():
+    """Texts without repeated grams, all in one batch: neither what is held nor what is handed on at once grows with them."""
+    rng = np.random.default_rng(19)
+    texts = [rng.integers(97, 123, 50_000, np.uint8).tobytes() for _ in range(240)]
+    batch = pa.record_batch([pa.array([i % 3 > 0 for i in range(240)]), pa.array(texts, pa.binary())], ["learnt", "text"])
+    sums, most = np.zeros(3, np.int64), 0
+    tracemalloc.start()
+    try:
+        for out in lm_scoring._count(lm_scoring.ORDER)(iter([batch])):
+            most = max(most, out.num_rows)
+            sums += [len(out) - out["word"].null_count, pc.sum(out["n"].filter(out["gram"].is_valid())).as_py() or 0, pc.sum(out["times"]).as_py() or 0]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sums.tolist() == [160, 160 * 50_001, 240 * 50_001]
+    assert peak < 400e6
+    assert most <= 1 << 16
+
+
 def test_lm_scores_against_brute_force(spark):
     """Prediction by partial matching by dictionaries: n - 1/2 for what a context has seen, the halves escape, seen symbols are excluded below."""
     rng = np.random.default_rng(7)
