@@ -17,14 +17,13 @@ alone; chains of consecutive equal segments are taken as keys at many places (ea
 20 bits of 5 segments), and pairs that meet must pass the pigeonring of the sketch:
 some start whose chains stay within their share of the radius. A pair at the least
 similarity meets with probability over 0.99 (see README). Pairs
-whose sketches are very close are links; of the others, those between different
-components of these are held against the texts: the Jaccard similarity of their
-sets of shingles decides.
+whose sketches are very close are links. The others are candidates: what they connect comes together
+with its sets of shingles, a row a document, and the Jaccard similarity decides every pair
+there that isn't connected by then.
 
 Equal fingerprints are one node, so copies never meet as pairs. Rows come sorted by
-key. Where bits alone decide, only a minimum spanning forest of a key's links is given
-out, which connects what the links within any smaller radius connect; where texts decide,
-every pair that such sure links don't connect; they are decided closest first, in rounds.
+key. Only a minimum spanning forest of a key's links is given out, which connects what the
+links within any smaller radius connect, candidates as well.
 
 Hot keys. A task holds at most ``most`` rows of a key; the rows of a fuller key are passed on. Of 64 bits, two
 fingerprints within the radius that are equal in a key's 4 segments are equal in one of the other 4 as well (pigeonhole), so
@@ -63,6 +62,8 @@ MOST = 8192
 WIDE = {"shingle": 5, "words": 40, "key_bits": 20, "sketch": 4, "radius": 56, "sure": 20, "least": 0.8, "most": MOST}
 #: Ids (of documents to compare) that may be broadcast; more are joined by merging.
 BROADCAST_IDS = 500_000
+#: Bytes of shingle sets that meet in one task.
+HELD = 1 << 24
 
 
 def shingle_hashes(words: list[bytes], k: int) -> list[int]:
@@ -364,7 +365,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, n, hashes) of the documents in wanted (id): their distinct shingles' hashes, sorted, 8 bytes each."""
+    """(id, top, root, n, hashes) of the documents in wanted (id, top, root): their distinct shingles' hashes, sorted, 8 bytes each."""
     few = wanted.count() <= BROADCAST_IDS
     text = F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
@@ -373,66 +374,125 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                own = [np.unique(np.array(shingle_hashes(tokens(t.as_py()), shingle), np.uint64)) for t in part.column(1)]
-                yield pa.record_batch([part.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["id", "n", "hashes"])
+                own = [np.unique(np.array(shingle_hashes(tokens(t.as_py()), shingle), np.uint64)) for t in part.column(3)]
+                yield pa.record_batch([*part.columns[:3], pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["id", "top", "root", "n", "hashes"])
+
+    found = texts.join(F.broadcast(wanted) if few else wanted.hint("merge"), "id").select("id", "top", "root", "text")
+    return cut(found.mapInArrow(run, "id long, top long, root long, n long, hashes binary"))
+
+
+def connected(roots: np.ndarray, sides: np.ndarray | None, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that connect the roots whose sets have a Jaccard similarity of at least ``least``, a spanning forest; every pair is
+    decided (with sides: of different sides) that isn't connected by then."""
+    n = np.array([len(x) for x in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(n) - n
+    names, top = np.unique(roots, return_inverse=True)
+    mark = np.zeros(int(flat.max()) + 1, np.int32)
+    out = []
+    for i in range(len(n) - 1):
+        ok = (top[i + 1 :] != top[i]) & (np.minimum(n[i + 1 :], n[i]) >= least * np.maximum(n[i + 1 :], n[i]))
+        if sides is not None:
+            ok &= sides[i + 1 :] != sides[i]
+        others = i + 1 + np.flatnonzero(ok)
+        if not len(others):
+            continue
+        mine = flat[starts[i] : starts[i] + n[i]]
+        mark[mine] = 1
+        if len(others) <= 16:
+            common = np.array([mark[flat[starts[j] : starts[j] + n[j]]].sum() for j in others])
+        else:
+            lo = others[0]
+            common = np.add.reduceat(mark[flat[starts[lo] :]], starts[lo:] - starts[lo])[others - lo]
+        mark[mine] = 0
+        for t in np.unique(top[others[common >= least * (n[i] + n[others] - common)]]):
+            out.append((int(names[top[i]]), int(names[t])))
+            top[top == t] = top[i]
+    return out
 
-    found = texts.join(F.broadcast(wanted) if few else wanted.hint("merge"), "id", "left_semi")
-    return cut(found.mapInArrow(run, "id long, n long, hashes binary"))
 
-
-def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The rows of pairs (a, b and more) whose documents' sets of shingles have a Jaccard similarity of at least ``least``."""
-    both = pairs
-    for end in ("a", "b"):
-        both = both.join(sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("hashes").alias(f"hashes_{end}")).hint("merge"), end)
-    both = both.where((F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")) & (F.col("n_a") > 0))
-    others = pairs.columns
+def _connect(least: float, across: bool):
+    """Streams rows (key, root, side, hashes) sorted by key; gives the links (a, b) of roots that connected() finds under a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        links: list[tuple[int, int]] = []
+
+        def decide() -> None:
+            roots, sides = (np.concatenate([x.column(k).to_numpy(zero_copy_only=False) for x in held]) for k in (1, 2))
+            sets = [np.frombuffer(h.as_py(), np.uint64) for x in held for h in x.column(3)]
+            held.clear()
+            if len(sets) > 1:
+                links.extend(connected(roots, sides if across else None, sets, least))
+
+        def out() -> pa.RecordBatch:
+            done = pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+            links.clear()
+            return done
+
+        last = None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True):
-                own, other = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                whole = np.sort(np.concatenate([own, other]))
-                common = int((whole[1:] == whole[:-1]).sum())
-                ok.append(common >= least * (len(whole) - common))
-            yield batch.select(others).filter(pa.array(ok, pa.bool_()))
+            keys = batch.column(0).to_numpy()
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
+            for start, end in zip(first, np.r_[first[1:], len(keys)].astype(int), strict=True):
+                if held and keys[start] != last:
+                    decide()
+                last = keys[start]
+                held.append(batch.slice(start, end - start))
+            if len(links) > 10_000:
+                yield out()
+        if held:
+            decide()
+        yield out()
 
-    return both.mapInArrow(run, pairs.schema).distinct()
+    return run
 
 
-def decided(ends: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """ends: (a, b, bits, root_a, root_b), candidates between components. Edges (a, b) of components that hold, enough to connect all that do.
+def decided(sets: DataFrame, least: float, most: int) -> DataFrame:
+    """sets: rows of shingle_sets(), top being a component of candidates and root one of sure links in it. Links (a, b) of
+    roots, enough to connect all that hold a pair of similarity ``least`` within their component of candidates.
 
-    In rounds: each component's closest candidate in each of some slots (by hash) is held against the texts; pairs that
-    are connected by then, or decided, go; the slots grow eightfold, until what is left is no more than what was just decided.
+    A component is decided in one task, where its sets meet without being paired as rows. One of more than ``most`` rows, or
+    HELD bytes, is dealt into blocks by chance, twice anew; if roots are left to connect, each two blocks meet as well.
     """
-    left = ends.select("a", "b", "bits", "root_a", "root_b", F.col("root_a").alias("top_a"), F.col("root_b").alias("top_b"))
-    held, slots = None, 1
-    count = left.count()
-    while count:
-        sides = [left.select("a", "b", "bits", "root_a", "root_b", F.col(f"top_{x}").alias("u")) for x in "ab"]
-        slot = F.pmod(F.xxhash64("a", "b"), F.lit(slots))
-        best = sides[0].unionByName(sides[1]).groupBy("u", slot.alias("slot")).agg(F.min(F.struct("bits", "a", "b", "root_a", "root_b")).alias("x"))
-        picked = cut(best.select("x.a", "x.b", "x.root_a", "x.root_b").distinct())
-        if 2 * picked.count() >= count:
-            picked = left.select("a", "b", "root_a", "root_b")
-            count = 0
-        found = similar(picked, sets, least).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        held = cut(found if held is None else held.union(found))
-        if count:
-            tops = cut(components(held))
-            left = left.join(picked.select("a", "b"), ["a", "b"], "left_anti").drop("top_a", "top_b")
-            for end in ("a", "b"):
-                own = tops.select(F.col("node").alias(f"root_{end}"), F.col("root").alias(f"top_{end}"))
-                left = left.join(own, f"root_{end}", "left").withColumn(f"top_{end}", F.coalesce(f"top_{end}", f"root_{end}"))
-            # Written, not checkpointed: a checkpoint keeps the plan's constraints, which multiply from round to round.
-            path = scratch(left.sparkSession, "left")
-            left.where("top_a <> top_b").write.parquet(path)
-            left = left.sparkSession.read.parquet(path)
-            count = left.count()
-            slots *= 8
-    return ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).limit(0) if held is None else held
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(most)), F.ceil(F.sum("n") * 8 / F.lit(HELD))).cast("int")
+    sizes = cut(sets.groupBy("top").agg(blocks.alias("blocks")))
+    rows = sets.where("n > 0").join(_dealt(sizes), "top")
+
+    def met(rows: DataFrame, key, side, across: bool) -> DataFrame:
+        dealt = rows.select(key.alias("key"), "root", side.alias("side"), "hashes").repartition(parts, "key").sortWithinPartitions("key", "root")
+        return dealt.mapInArrow(_connect(least, across), "a long, b long")
+
+    held = None
+    for salt in (7, 8, None):
+        own = F.pmod(F.xxhash64(F.lit(salt or 9), "id"), F.col("blocks")).cast("int")
+        if salt is None:
+            meet = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
+            found = met(meet, F.xxhash64("top", F.least("own", "other"), F.greatest("own", "other")), F.col("own") < F.col("other"), True)
+            # And what shares a block of this dealing.
+            found = found.unionByName(met(rows, F.xxhash64("top", own), F.lit(False), False))
+        else:
+            found = met(rows, F.xxhash64("top", own), F.lit(False), False)
+        held = cut(found if held is None else held.unionByName(found))
+        crowded = sizes.where("blocks > 1")
+        if salt is None or crowded.isEmpty():
+            break
+        # Go on with the crowded components that have several roots left.
+        now = cut(components(held))
+        named = sets.select("top", "root").distinct().join(_dealt(crowded), "top").join(now.select(F.col("node").alias("root"), F.col("root").alias("least")), "root", "left")
+        named = cut(named.select("top", "root", "blocks", F.coalesce("least", "root").alias("least")))
+        several = named.groupBy("top").agg(F.min("least").alias("x"), F.max("least").alias("y")).where("x <> y").select("top")
+        left = cut(named.join(several, "top", "left_semi"))
+        if left.isEmpty():
+            break
+        rows = sets.where("n > 0").join(_dealt(left), ["top", "root"]).drop("root").withColumnRenamed("least", "root")
+    return held
+
+
+def _dealt(small: DataFrame) -> DataFrame:
+    """To be joined: broadcast if it has few rows."""
+    return F.broadcast(small) if small.count() <= BROADCAST_IDS else small.hint("merge")
 
 
 def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: dict | None = None) -> DataFrame:
@@ -448,16 +508,19 @@ def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = [F.conv(k, 16, 10).cast("long") for k in keys]
     short = F.substring(F.col("fp"), 1, 8 * sketch)
     dealt = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", short.alias("fp"))
-    found = cut(_linked(dealt, how["radius"], sketch, how["sure"], most=how["most"]).where("a <> b").distinct())
+    # Of each key a minimum spanning forest: its links within any radius connect what all pairs within it connect.
+    found = cut(_linked(dealt, how["radius"], sketch, most=how["most"]).where("a <> b").distinct())
     sure = cut(components(found.where(F.col("bits") <= how["sure"])))
-    # What is left to decide: pairs between different components.
+    # What is left to decide: pairs between different components that candidates connect.
     ends = found.where(F.col("bits") > how["sure"])
     for end in ("a", "b"):
         ends = ends.join(sure.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    ends = ends.select("a", "b", "bits", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
-    ends = cut(ends.where("root_a <> root_b"))
-    sets = shingle_sets(docs, cut(ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct()), id_col, text_col, how["shingle"])
-    tops = components(decided(ends, sets, how["least"]))
+    ends = ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    loose = cut(components(ends.where("a <> b")))
+    inside = nodes.select("node").join(sure, "node", "left").select(F.col("node").alias("id"), F.coalesce("root", "node").alias("root"))
+    wanted = cut(inside.join(loose.select(F.col("node").alias("root"), F.col("root").alias("top")), "root").select("id", "top", "root"))
+    sets = shingle_sets(docs, wanted, id_col, text_col, how["shingle"])
+    tops = components(decided(sets, how["least"], max(1, how["most"] // 4)))
     tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
     named = nodes.join(sure, "node", "left").withColumn("root", F.coalesce("root", "node")).join(tops, "root", "left")
     named = named.select("fp", "node", F.coalesce("top", "root").alias("component_id"))

@@ -311,6 +311,49 @@ def test_near_dedup_finds_pairs_near_the_threshold(spark):
     assert roots[0] == roots[1]
 
 
+def test_near_copies_make_no_pairs_as_rows(spark, monkeypatch):
+    """A group of near copies, no two of them close enough to be sure, is joined with rows in proportion to its size."""
+    rng = np.random.default_rng(13)
+    base, n, made = [f"w{x}" for x in rng.integers(0, 10**6, 200)], 240, []
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for k, at in enumerate(rng.choice(200, 2, replace=False)):
+            words[at] = f"x{i}-{k}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    linked = simhash._linked
+
+    def counted(*args, **named):
+        found = linked(*args, **named)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "_linked", counted)
+    for how in ({}, {"most": 160}):
+        assert {r.component_id for r in simhash.wide_components(df, how=how).collect()} == {0}
+    assert made[0] <= 128 * n
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_connected_against_brute_force(across):
+    rng = np.random.default_rng(17)
+    sets = [np.unique(rng.choice(12, rng.integers(1, 12))).astype(np.uint64) for _ in range(60)]
+    roots, sides = rng.integers(0, 40, 60), rng.integers(0, 2, 60).astype(bool)
+    jaccard = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    wanted = [(roots[i], roots[j]) for i in range(60) for j in range(i) if (not across or sides[i] != sides[j]) and jaccard(sets[i], sets[j]) >= 0.8]
+
+    def classes(pairs):
+        top = {x: x for x in roots}
+        for a, b in pairs:
+            top = {x: top[a] if t == top[b] else t for x, t in top.items()}
+        return {frozenset(x for x in top if top[x] == t) for t in top.values()}
+
+    found = simhash.connected(roots, sides if across else None, sets, 0.8)
+    assert classes(found) == classes(wanted)
+    assert len(found) < 40
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     root = {r.node: r.root for r in components(edges).collect()}
