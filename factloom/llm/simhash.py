@@ -535,8 +535,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = docs.where(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     found = wide_components(some, id_col, text_col, how)
     gone_id = fresh(docs, "near_copy")
-    gone = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(gone_id)).distinct()
-    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`").cast("long") == gone[gone_id], "left_anti")
+    gone = cut(found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(gone_id)).distinct())
+    return docs.join(_dealt(gone), F.col(f"`{id_col}`").cast("long") == gone[gone_id], "left_anti")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -360,6 +360,26 @@ def test_components_of_a_long_chain(spark):
     assert {root[i] for i in range(61)} == {0} and root[101] == 100
 
 
+def test_components_of_few_edges_take_no_rounds(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    order = [int(x) for x in rng.permutation(400)]
+    edges = spark.createDataFrame([*zip(order, order[1:], strict=False), (500, 501), (502, 500), (9, 9), (None, 3)], "a long, b long").repartition(40)
+    context = spark.sparkContext
+    kept = context.getCheckpointDir()
+    context.setCheckpointDir(str(tmp_path))
+    try:
+        found = components(edges).collect()
+        assert len(list(tmp_path.glob("*/rdd-*"))) == 1
+    finally:
+        if kept:
+            context.setCheckpointDir(kept)
+    wanted = {i: 0 for i in range(400)} | {i: 500 for i in (500, 501, 502)}
+    assert len(found) == len(wanted) and {r.node: r.root for r in found} == wanted
+    assert {r.node: r.root for r in components(edges, held=100).collect()} == wanted
+    words = edges.select(*[F.col(c).cast("string") for c in ("a", "b")])
+    assert {int(r.node): int(r.root) for r in components(words).collect()} == wanted
+
+
 def test_lm_scores_are_log_probabilities(spark, odd, none):
     docs = [b"abab abc", b"abc abd", b"bca bca bca"]
     v = np.sort(lm_scoring.grams(docs, 2)[0])
