@@ -51,10 +51,13 @@ from factloom.llm.lm_scoring import tokens
 
 SHINGLE = 3
 RADIUS = 3
-BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float32)
+#: Words of fingerprints that are counted at once, to stay in the cache.
+LANES = 1 << 18
 #: The two segments of the next three that are equal.
 CHOICES = ((2, 3), (2, 4), (3, 4))
 
+#: Rows of a key up to which all keys of one size are compared together.
+FEW = 24
 #: Rows of one key that a task compares; fuller keys are split.
 MOST = 8192
 #: The pipeline's: words a shingle, words of 64 bits, keys of so many bits, words of the sketch, bits in which it may
@@ -75,29 +78,68 @@ def shingle_hashes(words: list[bytes], k: int) -> list[int]:
 
 def fold(hashes: np.ndarray, lengths: np.ndarray, words: int = 1) -> np.ndarray:
     """(documents, words) of uint64: bits set in over half of a document's hashes."""
-    n = len(lengths)
-    out = np.zeros((n, words), np.uint64)
-    some = np.flatnonzero(lengths)
-    if not len(some):
-        return out
-    place = np.repeat(np.arange(len(some)), lengths[some]) * 256
-    half = lengths[some].astype(np.float64)[:, None] / 2
-    for w in range(words):
-        lanes = (hashes if w == 0 else _mixed(hashes, w)).view(np.uint8).reshape(-1, 8)
-        bits = np.empty((len(some), 64), bool)
-        for lane in range(8):
-            counts = np.bincount(place + lanes[:, lane], minlength=256 * len(some)).reshape(-1, 256)
-            bits[:, 8 * lane : 8 * lane + 8] = counts @ BITS > half
-        out[some, w] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    out = np.zeros((len(lengths), words), np.uint64)
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    lo = 0
+    while lo < len(order):
+        # As many documents of like length as stay in the cache, or one, then its words in parts.
+        n = lengths[order[lo:]]
+        hi = lo + max(1, int(np.searchsorted(n * np.arange(1, len(n) + 1) * words, LANES, "right")))
+        own, most = order[lo:hi], int(lengths[order[hi - 1]])
+        place = np.arange(most)[:, None]
+        held = place < lengths[own]
+        h = hashes[np.where(held, starts[own] + place, 0)]
+        some = words if hi > lo + 1 else max(1, LANES // most)
+        least = (lengths[own] // 2 + 1).astype(np.uint64)
+        for w in range(0, words, some):
+            x = _mixed(h, np.arange(w, min(w + some, words)))
+            x[~held] = 0
+            out[own, w : w + some] = _reach(_planes(x), least[:, None])
+        lo = hi
     return out
 
 
-def _mixed(h: np.ndarray, w: int) -> np.ndarray:
-    """Another word of a hash (the finaliser of splitmix64)."""
-    x = h + np.uint64(w * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _planes(x: np.ndarray) -> list[np.ndarray]:
+    """How often each bit is set along the first axis, in binary digits, lowest first (carry-save adders)."""
+    planes = []
+    while len(x):
+        carries = []
+        while len(x) > 1:
+            k = len(x) // 3
+            if not k:
+                carries.append(x[:1] & x[1:])
+                x = x[:1] ^ x[1:]
+                continue
+            a, b, c = x[:k], x[k : 2 * k], x[2 * k : 3 * k]
+            ab = a ^ b
+            carries.append((a & b) | (ab & c))
+            x = np.concatenate([ab ^ c, x[3 * k :]])
+        planes.append(x[0])
+        x = np.concatenate(carries) if carries else x[:0]
+    return planes
+
+
+def _reach(planes: list[np.ndarray], least: np.ndarray) -> np.ndarray:
+    """The bits whose count, in planes of binary digits, is at least ``least``."""
+    out = np.full_like(planes[0], 0xFFFFFFFFFFFFFFFF)
+    for digit, plane in enumerate(planes):
+        wanted = np.where(least >> np.uint64(digit) & np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
+        out = (plane & ~wanted) | (~(plane ^ wanted) & out)
+    return out
+
+
+def _mixed(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The words of each hash, as a last axis: word 0 is the hash itself, others are derived from it (the finaliser of splitmix64)."""
+    x = h[..., None] + words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    if words[0] == 0:
+        x[..., 0] = h
+    return x
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, words: int = 1, repeats: bool = True) -> DataFrame:
@@ -243,9 +285,22 @@ def _meet(radius: int, sketch: int, sure: int | None = None, most: int | None =
                 for start, n in zip(first[full], size[full], strict=True):
                     yield back(keys[start : start + n], nodes[start : start + n], fps[start : start + n])
                 first, size = first[~full], size[~full]
-            pairs = first[size == 2]
-            pairs = pairs[near(fps[pairs], fps[pairs + 1], radius)] if len(pairs) else pairs
-            a, b = [pairs], [pairs + 1]
+            a: list[np.ndarray] = []
+            b: list[np.ndarray] = []
+            alone = size > 1  # groups to be gone through one by one
+            for n in np.unique(size[size <= FEW]) if sure is None else (2,):
+                same = np.flatnonzero(size == n)
+                alone[same] = False
+                i, j = np.triu_indices(n, 1)
+                for lo in range(0, len(same) * (n > 1), max(1, 200_000 // max(1, len(i)))):
+                    part = same[lo : lo + max(1, 200_000 // max(1, len(i)))]
+                    left, right = (first[part][:, None] + x for x in (i, j))
+                    ok = near(fps[left.ravel()], fps[right.ravel()], radius).reshape(left.shape)
+                    many = ok.sum(axis=1) >= n  # more links than a forest has
+                    alone[part[many]] = True
+                    ok[many] = False
+                    a.append(left[ok])
+                    b.append(right[ok])
 
             def out() -> pa.RecordBatch:
                 i, j = np.concatenate(a), np.concatenate(b)
@@ -254,7 +309,7 @@ def _meet(radius: int, sketch: int, sure: int | None = None, most: int | None =
                 bits = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1).astype(np.int32)
                 return pa.record_batch([pa.array(nodes[i]), pa.array(nodes[j]), pa.array(bits), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.binary())], names)
 
-            for start, n in zip(first[size > 2], size[size > 2], strict=True):
+            for start, n in zip(first[alone], size[alone], strict=True):
                 own = fps[start : start + n]
                 if sure is None:
                     some = iter([np.array(spanning(own, radius), np.int64).reshape(-1, 2).T])
@@ -495,19 +550,33 @@ def _dealt(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_IDS else small.hint("merge")
 
 
+def _chain_keys(words: int, width: int, sketch: int):
+    """Streams rows (fp, node); gives (key, node, sketch) for each of a fingerprint's chains of 4-bit segments, ``width`` bits long."""
+    tables = words * 64 // width
+    value = 2.0 ** np.arange(width - 1, -1, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                n = part.num_rows
+                raw = np.frombuffer(b"".join(x.as_py() for x in part.column(0)), np.uint8).reshape(n, 8 * words)
+                bits = np.unpackbits(raw, axis=1)[:, : tables * width].reshape(n, tables, width)
+                keys = (bits @ value).astype(np.int64) | np.arange(tables, dtype=np.int64) << width
+                short = np.repeat(raw[:, : 8 * sketch], tables, axis=0)
+                fps = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * sketch), n * tables, [None, pa.py_buffer(short)])
+                yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(part.column(1).to_numpy(), tables)), fps.cast(pa.binary())], ["key", "node", "fp"])
+
+    return run
+
+
 def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: dict | None = None) -> DataFrame:
     """One row per row of docs: node (the least id of its fingerprint), component_id; for similarities over a wide radius."""
     how = WIDE | (how or {})
     words, width, sketch = how["words"], how["key_bits"], how["sketch"]
     rows = cut(fingerprints(docs, id_col, text_col, how["shingle"], words, repeats=False))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
-    digits, tables = F.hex("fp"), words * 64 // width
-    # Hex digits are the 4-bit segments; a key is a chain of consecutive ones.
-    step = width // 4
-    keys = [F.concat(F.lit(f"{t:x}"), F.substring(digits, 1 + t * step, step)) for t in range(tables)]
-    keys = [F.conv(k, 16, 10).cast("long") for k in keys]
-    short = F.substring(F.col("fp"), 1, 8 * sketch)
-    dealt = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", short.alias("fp"))
+    dealt = nodes.select("fp", "node").mapInArrow(_chain_keys(words, width, sketch), "key long, node long, fp binary")
     # Of each key a minimum spanning forest: its links within any radius connect what all pairs within it connect.
     found = cut(_linked(dealt, how["radius"], sketch, most=how["most"]).where("a <> b").distinct())
     sure = cut(components(found.where(F.col("bits") <= how["sure"])))

@@ -34,11 +34,16 @@ L2 = 0.5
 THRESHOLD = 0.35
 PREFIXES = (4, 6)
 CHAIN = ("low_quality", "toxic")
-_CLEAN = {i: 32 for i in range(128) if not chr(i).isalnum()} | {i: i + 32 for i in range(65, 91)}
+#: For bytes of UTF-8, where those under 128 are ASCII.
+_CLEAN = bytes(32 if i < 128 and not chr(i).isalnum() else i + 32 if 65 <= i <= 90 else i for i in range(256))
+
+
+def word_set(text: str) -> set[str]:
+    return set(text.encode().translate(_CLEAN).decode().lower().split())
 
 
 def features(text: str) -> set[str]:
-    words = set(text.translate(_CLEAN).lower().split())
+    words = word_set(text)
     found = set(words)
     for k in PREFIXES:
         found |= {f"{w[:k]}*{k}" for w in words if len(w) >= k}
@@ -144,10 +149,22 @@ class Chain:
     """One model per category; weights: (categories, features)."""
 
     def __init__(self, vocabulary: list[str], models: list[Linear]):
-        self.place = {v: i for i, v in enumerate(vocabulary)}
+        # Words, and prefixes by their length: no word has an asterisk.
+        self.place: dict[int | None, dict[str, int]] = {k: {} for k in (None, *PREFIXES)}
+        for i, v in enumerate(vocabulary):
+            name, _, k = v.partition("*")
+            self.place[int(k) if k else None][name] = i
         self.models = models
         self.weights = np.stack([m.w[: len(vocabulary)] for m in models], axis=1) if models else np.zeros((0, 0))
 
+    def known(self, text: str) -> list[int]:
+        """Places of the text's features that the models know."""
+        words, out = word_set(text), []
+        for k, place in self.place.items():
+            # A shorter word is no prefix of this length, so it isn't there.
+            out += map(place.__getitem__, place.keys() & ({w[:k] for w in words} if k else words))
+        return out
+
     def probabilities(self, found: list[list[int]]) -> np.ndarray:
         """(documents, categories)."""
         sums = np.stack([self.weights[f].sum(axis=0) for f in found]) if found else np.zeros((0, len(self.models)))
@@ -229,7 +246,7 @@ def predict(docs: DataFrame, chain: Chain, names: tuple[str, ...], id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [[own.place[f] for f in own.place.keys() & features(t.as_py() or "")] for t in batch.column(1)]
+            found = [own.known(t.as_py() or "") for t in batch.column(1)]
             p = own.probabilities(found)
             yield pa.record_batch([batch.column(0), *[pa.array(p[:, c]) for c in range(len(names))]], ["doc_id", *[f"p_{n}" for n in names]])
 
@@ -261,7 +278,7 @@ def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, id_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [[own.place[f] for f in own.place.keys() & features(t.as_py() or "")] for t in batch.column(at)]
+            found = [own.known(t.as_py() or "") for t in batch.column(at)]
             p = own.probabilities(found)[:, -1]
             yield pa.record_batch([*batch.columns, pa.array(p)], [*names, score])
 

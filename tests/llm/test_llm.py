@@ -354,6 +354,51 @@ def test_connected_against_brute_force(across):
     assert len(found) < 40
 
 
+def test_small_keys_are_compared_together(monkeypatch):
+    rng = np.random.default_rng(6)
+    keys = np.sort(rng.integers(0, 3000, 12_000))
+    fps = rng.integers(0, 2**64, (len(keys), 4), dtype=np.uint64)
+    near = np.flatnonzero((keys[1:] == keys[:-1]) & (rng.random(len(keys) - 1) < 0.2))
+    for i in near:
+        fps[i + 1] = fps[i] ^ np.uint64(1 << int(i % 64))
+    rows = pa.record_batch([pa.array(keys), pa.array(np.arange(len(keys))), pa.array([f.tobytes() for f in fps], pa.binary())], ["key", "node", "fp"])
+    alone = []
+    spanning = simhash.spanning
+    monkeypatch.setattr(simhash, "spanning", lambda own, radius: alone.append(len(own)) or spanning(own, radius))
+    found = {(a, b) for x in simhash._meet(56, 4, None, 8192)(iter([rows])) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)}
+    # One by one only where there are more links than a forest has.
+    assert len(alone) < 300
+    top = list(range(len(keys)))
+    for a, b in sorted(found):
+        assert keys[a] == keys[b] and np.bitwise_count(fps[a] ^ fps[b]).sum() <= 56
+        top[b] = min(top[a], top[b])
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    assert all(top[i] == top[i + 1] for i in near) and len(near) <= len(found) <= len(keys) - len(first)
+
+
+def test_bits_of_most_hashes():
+    rng = np.random.default_rng(7)
+    lengths = np.array([0, 1, 2, 3, 0, 4, 5, 16, 17, 300, 40_000])
+    hashes = rng.integers(0, 2**64, lengths.sum(), dtype=np.uint64)
+    hashes[::2] |= np.uint64(0xFF)
+    words = [hashes, *(simhash._mixed(hashes, np.array([w]))[:, 0] for w in (1, 2))]
+    ends = np.cumsum(lengths)
+    for w, own in enumerate(words):
+        counts = [[sum((own[e - n : e] >> np.uint64(i)) & np.uint64(1)) for i in range(64)] for e, n in zip(ends, lengths, strict=True) if n < 1000]
+        wanted = [sum(1 << i for i, c in enumerate(row) if 2 * int(c) > n) for row, n in zip(counts, lengths, strict=False)]
+        assert simhash.fold(hashes, lengths, 3)[: len(wanted), w].tolist() == wanted
+    bits = np.unpackbits(hashes[-40_000:].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0) > 20_000
+    assert np.packbits(bits, bitorder="little").view(np.uint64)[0] == simhash.fold(hashes, lengths, 3)[-1, 0]
+
+
+def test_features_that_a_chain_knows():
+    texts = ["", "Bad, BAD words!", "worded wo wor", "naïve Ünder_score x*4", "sword 1234567"]
+    vocabulary = sorted(set().union(*map(toxicity.features, texts[:4])))
+    chain = toxicity.Chain(vocabulary, [])
+    for text in texts:
+        assert sorted(chain.known(text)) == sorted(vocabulary.index(f) for f in toxicity.features(text) if f in vocabulary)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     root = {r.node: r.root for r in components(edges).collect()}
