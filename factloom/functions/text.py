@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 EDGE = "*_#>~`-.,;:!?\"'()[]{}“”‘’…®™©•◦‣·"
 CITATION = r"\(\[\[\d+\]\]\s+\S+\)"
 TAG = r"</?[a-zA-Z][^>]*>"
-RUN_ON = r"(?<=[A-Za-z])\.(?=[A-Z][a-z])"
+RUN_ON = r"\.(?<=[A-Za-z]\.)(?=[A-Z][a-z])"
 LEGAL_SUFFIXES = ["inc", "incorporated", "corp", "corporation", "ltd", "limited", "llc", "plc", "co", "company", "group", "holdings", "ag", "sa", "gmbh", "nv", "bv", "pty", "pte"]
 SHORT_STOP = ["the", "of", "and", "a", "an", "company", "limited", "incorporated", "corporation", "co", "ltd", "inc", "corp", "group", "holdings", "plc", "llc", "ag", "sa", "gmbh", "nv", "bv", "pty", "pte"]
 CHUNK, OVERLAP = 20_000, 2_000
@@ -116,9 +116,10 @@ def _blank(text: Column, pattern: str) -> Column:
 
 def clean(text: Column) -> Column:
     """Citations, tags, table pipes and run-on periods as spaces; the length stays."""
-    for pattern in (CITATION, TAG):
-        text = let(text, lambda t, p=pattern: F.when(t.rlike(p), _blank(t, p)).otherwise(t))
-    return F.regexp_replace(F.translate(text, "|", " "), RUN_ON, " ")
+    for pattern, begin in ((CITATION, "([["), (TAG, "<")):
+        # A plain search tells most texts apart before the pattern is tried.
+        text = let(text, lambda t, p=pattern, b=begin: F.when(t.contains(b) & t.rlike(p), _blank(t, p)).otherwise(t))
+    return F.regexp_replace(F.replace(text, F.lit("|"), F.lit(" ")), RUN_ON, " ")
 
 
 def words(text: Column) -> Column:
@@ -126,6 +127,15 @@ def words(text: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), core), lambda w: w != "")
 
 
+def spaced_words(text: Column) -> Column:
+    """The words() of a cleaned text between single spaces, one more at either end: by patterns over the whole text, not word by word."""
+    edge = "[" + re.escape(EDGE) + "]"
+    # Beside a space: all the marks there; the looks back keep a long run of marks inside a word from being tried at each of its places.
+    ends = rf"{edge}(?:(?<=\s.){edge}*+|(?<!{edge}.){edge}*+(?=\s))"
+    bare = F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), ends, "")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(bare, "[\"“”‘’]", "'"), r"\s+", " ")), F.lit(" "))
+
+
 def fragments(quote: Column, pattern: str = r"\.\.\.|…") -> Column:
     """array<array<string>>: words of the parts between ellipses."""
     return F.filter(F.transform(F.split(quote, pattern), words), lambda f: F.size(f) > 0)

@@ -1,12 +1,14 @@
 """Grounding: locating quotes in documents with exact character offsets.
 
 Quotes find candidate documents by their fragments' longest word (an equi-join on document
-words, kept once per document), so tokens of a document never meet those of another. Each
-candidate pair is then matched fragment by fragment, earliest first, without backtracking.
+words, kept once per document; few quotes are broadcast, so that documents stay where they are).
+Each candidate pair is then matched fragment by fragment, earliest first, without backtracking.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,32 +17,48 @@ from factloom.functions import text as tx
 
 def joined(text: Column) -> Column:
     """A text's words between single spaces, one more at either end: phrases of words are found in it as strings."""
-    return tx.composed(F.concat(F.lit(" "), F.array_join(tx.words(tx.clean(text)), " "), F.lit(" ")))
+    return tx.composed(tx.spaced_words(tx.clean(text)))
+
+
+def _phrases(parts: Column) -> Column:
+    """Fragments as they stand in joined()."""
+    return F.transform(parts, lambda part: F.concat(F.lit(" "), F.array_join(part, " "), F.lit(" ")))
 
 
-def _way(line: Column, parts: Column) -> Column:
-    """struct<first, last>: where in joined() the fragments begin and end, matched in order, each at its earliest place."""
+def _way(line: Column, phrases: Column) -> Column:
+    """struct<first, last>: where in joined() the phrases begin and end, matched in order, each at its earliest place."""
     zero = F.struct(F.lit(1).alias("cursor"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(True).alias("ok"))
 
-    def step(acc: Column, part: Column) -> Column:
-        phrase = F.concat(F.lit(" "), F.array_join(part, " "), F.lit(" "))
-        at = F.call_function("locate", phrase, line, acc["cursor"])
-        end = (at + F.length(phrase) - 1).cast("int")
-        ok = acc["ok"] & (at > 0)
+    def step(acc: Column, phrase: Column) -> Column:
+        # Searched once a phrase, and not after one that isn't there.
+        at = F.when(acc["ok"], F.call_function("locate", phrase, line, acc["cursor"])).otherwise(0)
+        return tx.let(at, lambda own: stepped(acc, own, (own + F.length(phrase) - 1).cast("int")))
+
+    def stepped(acc: Column, at: Column, end: Column) -> Column:
+        ok = at > 0
         return F.struct(F.when(ok, end).otherwise(acc["cursor"]).alias("cursor"), F.when(acc["first"] == 0, at).otherwise(acc["first"]).alias("first"), end.alias("last"), ok.alias("ok"))
 
-    done = F.aggregate(parts, zero, step)
-    return F.when((F.size(parts) > 0) & done["ok"], F.struct(done["first"].alias("first"), done["last"].alias("last")))
+    done = tx.let(F.aggregate(phrases, zero, step), lambda own: F.when(own["ok"], F.struct(own["first"].alias("first"), own["last"].alias("last"))))
+    return F.when(F.size(phrases) > 0, done)
 
 
-def way(quote: Column, line: Column) -> Column:
-    """The fragments' way through joined(); between emphasis marks and colons too if that gives more fragments."""
+def asked(quote: Column) -> Column:
+    """struct<plain, finer>: a quote's phrases; finer, between emphasis marks and colons too, only if those are more."""
+
+    def both(plain: Column, finer: Column) -> Column:
+        return F.struct(_phrases(plain).alias("plain"), F.when(F.size(finer) > F.size(plain), _phrases(finer)).alias("finer"))
 
-    def found(cleaned: Column, line: Column) -> Column:
-        plain, finer = tx.fragments(cleaned), tx.struct_fragments(cleaned)
-        return F.coalesce(_way(line, plain), F.when(F.size(finer) > F.size(plain), _way(line, finer)))
+    return tx.let(tx.composed(tx.clean(quote)), lambda cleaned: tx.let(tx.fragments(cleaned), lambda plain: tx.let(tx.struct_fragments(cleaned), lambda finer: both(plain, finer))))
 
-    return tx.let(tx.composed(tx.clean(quote)), lambda cleaned: tx.let(line, lambda own: found(cleaned, own)))
+
+def asked_way(sought: Column, line: Column) -> Column:
+    """The way of asked() phrases through joined(): the plain ones', else the finer ones'."""
+    return F.coalesce(_way(line, sought["plain"]), F.when(sought["finer"].isNotNull(), _way(line, sought["finer"])))
+
+
+def way(quote: Column, line: Column) -> Column:
+    """The fragments' way through joined(); between emphasis marks and colons too if that gives more fragments."""
+    return tx.let(asked(quote), lambda sought: tx.let(line, lambda own: asked_way(sought, own)))
 
 
 def span_of(text: Column, line: Column, found: Column) -> Column:
@@ -49,16 +67,16 @@ def span_of(text: Column, line: Column, found: Column) -> Column:
     edge = lambda r: F.ltrim(F.regexp_replace(r, r"^\s+", ""), F.lit(tx.EDGE))
 
     def between(runs: Column, a: Column, b: Column) -> Column:
-        total = lambda upto: F.aggregate(F.slice(runs, 1, upto), F.lit(0), lambda n, r: n + F.length(r))
+        total = lambda upto: F.length(F.array_join(F.slice(runs, 1, upto), ""))
         start = total(a) - F.length(edge(F.element_at(runs, a)))
         last = F.element_at(runs, b)
         end = total(b) - (F.length(last) - F.length(F.rtrim(last, F.lit(tx.EDGE))))
         return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
     def placed(runs: Column) -> Column:
-        # Numbers of the runs that hold a word.
-        real = F.filter(F.transform(runs, lambda r, i: F.when(tx.core(F.regexp_replace(r, r"^\s+", "")) != "", i + 1)), lambda i: i.isNotNull())
-        return tx.let(real, lambda own: between(runs, F.element_at(own, nth(found["first"])), F.element_at(own, (nth(found["last"]) - 1).cast("int"))))
+        # Numbers of the runs that hold a word: more than marks.
+        real = F.array_compact(F.transform(runs, lambda r, i: F.when(r.rlike(rf"[^\s{re.escape(tx.EDGE)}]"), i + 1)))
+        return tx.let(real, lambda own: tx.let(F.element_at(own, nth(found["first"])), lambda a: tx.let(F.element_at(own, (nth(found["last"]) - 1).cast("int")), lambda b: between(runs, a, b))))
 
     return tx.let(F.regexp_extract_all(tx.clean(text), F.lit(r"\s*\S+"), F.lit(0)), placed)
 
@@ -78,24 +96,41 @@ def _longest(parts: Column) -> Column:
     return F.array_max(F.transform(F.flatten(parts), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
 
 
-def candidates(quotes: DataFrame, docs: DataFrame, few: int = 10_000) -> DataFrame:
-    """(quote_id, doc_id): pairs where the document has the longest word of the quote's fragments, of either split. quotes: quote_id, quote; docs: doc_id, text."""
+def _anchors(quotes: DataFrame) -> DataFrame:
+    """quotes: quote_id, quote. (quote_id, sought, word, other): the longest word of the quote's fragments, of either split; other is the first split's word beside the second's."""
     cleaned = tx.composed(tx.clean(F.col("quote")))
-    either = F.array_distinct(F.array_compact(F.array(_longest(tx.fragments(cleaned)), _longest(tx.struct_fragments(cleaned)))))
-    anchors = quotes.select("quote_id", F.explode(either).alias("word"))
-    n = anchors.limit(few + 1).count()
-    own = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.trim(joined(F.col("text"))), " "))).alias("word"))
-    return own.join(F.broadcast(anchors) if n <= few else anchors, "word").select("quote_id", "doc_id").distinct()
+    longest = quotes.select("quote_id", asked(F.col("quote")).alias("sought"), _longest(tx.fragments(cleaned)).alias("a"), _longest(tx.struct_fragments(cleaned)).alias("b"))
+    none = F.lit(None).cast("string")
+    either = F.array(F.struct(F.col("a").alias("word"), none.alias("other")), F.when(~F.col("a").eqNullSafe(F.col("b")), F.struct(F.col("b").alias("word"), F.col("a").alias("other"))))
+    return longest.select("quote_id", "sought", F.explode(either).alias("x")).where("x.word IS NOT NULL").select("quote_id", "sought", "x.word", "x.other")
+
+
+def located(quotes: DataFrame, docs: DataFrame, few: int = 10_000, most: int = 16_000_000) -> DataFrame:
+    """quote_id, doc_id, text, start, end, evidence of every quote located in any document. quotes: quote_id, quote; docs: doc_id, text.
+
+    Up to few words sought, of quotes of up to most characters, go to where the documents are: each is read and its words are joined once, and none is shuffled.
+    """
+    anchors = _anchors(quotes)
+    lines = docs.select("doc_id", "text", joined(F.col("text")).alias("line"))
+    # Outer, as for an inner explode the optimiser tests the array's size first, which would work out the words twice.
+    words = F.explode_outer(F.array_distinct(F.split(F.trim("line"), " "))).alias("word")
+    n = anchors.select("word").limit(few + 1).count()
+    if n <= few and (quotes.agg(F.sum(F.length("quote"))).first()[0] or 0) <= most:
+        pairs = lines.select("doc_id", "text", "line", words).join(F.broadcast(anchors), "word")
+        # By the second split's word only where the first's is missing, so that a pair comes once.
+        pairs = pairs.where(F.col("other").isNull() | ~F.contains("line", F.concat(F.lit(" "), "other", F.lit(" "))))
+    else:
+        found = lines.select("doc_id", words).join(anchors.select("quote_id", "word"), "word").select("quote_id", "doc_id").distinct()
+        pairs = found.join(lines, "doc_id").join(quotes.select("quote_id", asked(F.col("quote")).alias("sought")), "quote_id")
+    # Exploded, so that the test isn't drawn into the join, which would be worked row by row then.
+    ways = pairs.select("quote_id", "doc_id", "text", "line", F.explode_outer(F.array(asked_way(F.col("sought"), F.col("line")))).alias("way")).where("way IS NOT NULL")
+    found = ways.withColumn("span", span_of(F.col("text"), F.col("line"), F.col("way")))
+    return found.select("quote_id", "doc_id", "text", F.col("span.start").alias("start"), F.col("span.end").alias("end"), reanchor(F.col("text"), F.col("span")).alias("evidence"))
 
 
 def ground(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """quote_id, doc_id, start, end, evidence of every quote located in any document."""
-    # A document's words are joined once, on its side of the join, not once for each pair.
-    lines = docs.select("doc_id", "text", joined(F.col("text")).alias("line"))
-    pairs = candidates(quotes, docs).join(lines, "doc_id").join(quotes, "quote_id")
-    lined = pairs.withColumn("way", way(F.col("quote"), F.col("line"))).where("way IS NOT NULL")
-    found = lined.withColumn("span", span_of(F.col("text"), F.col("line"), F.col("way")))
-    return found.select("quote_id", "doc_id", F.col("span.start").alias("start"), F.col("span.end").alias("end"), reanchor(F.col("text"), F.col("span")).alias("evidence"))
+    return located(quotes, docs).drop("text")
 
 
 def context(text: Column, start: Column, end: Column, width: int) -> Column:

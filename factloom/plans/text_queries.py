@@ -61,8 +61,7 @@ def evidence_spans(spark, d):
     SELECT quote_id, doc_id, string_split(b, chr(10) || chr(10))[-1] || substr(text, start + 1, "end" - start) || string_split(a, chr(10) || chr(10))[1] AS context FROM near"""
 )
 def context_window(spark, d):
-    docs = table(spark, d, "documents")
-    found = gr.ground(_quotes(spark, d), docs).join(docs.select("doc_id", "text"), "doc_id")
+    found = gr.located(_quotes(spark, d), table(spark, d, "documents"))
     return found.select("quote_id", "doc_id", gr.context(F.col("text"), F.col("start"), F.col("end"), 80).alias("context"))
 
 
@@ -120,8 +119,7 @@ def rescue_line(spark, d):
 )
 def reanchor_drift(spark, d):
     """Stored offsets are trusted only where an edited text still has the same words there; else the quote is located again."""
-    docs = table(spark, d, "documents")
-    found = gr.ground(_quotes(spark, d), docs).join(docs.select("doc_id", "text"), "doc_id").withColumn("edited", F.concat(F.lit("> "), F.col("text")))
+    found = gr.located(_quotes(spark, d), table(spark, d, "documents")).withColumn("edited", F.concat(F.lit("> "), F.col("text")))
     same = F.substring("edited", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("evidence")
     again = gr.locate(F.col("evidence"), F.col("edited"))["start"]
     return found.select("quote_id", "doc_id", same.alias("same_place"), F.when(same, F.col("start")).otherwise(again).alias("new_start"))

@@ -109,3 +109,15 @@ def test_estimate_rounds_as_its_sql(spark, tmp_path, chars):
     for t in ("documents", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert tuple(registry.queries()["build_estimate"](spark, str(tmp_path)).first()) == con.execute(registry.oracle_sql()["build_estimate"]).fetchone()
+
+
+def test_documents_stay_where_they_are(spark):
+    """Few quotes meet documents without a shuffle; many by a join on words, with the same spans, one a pair and document row."""
+    texts = ["The “Red” fox\n-- ran over *the* hill. Then it slept.", "nothing here", "a: one two, three -- red fox", "", None, "a: one two, three -- red fox"]
+    docs = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    quotes = spark.createDataFrame([(1, "red fox ran … it slept"), (2, "one *two* three: red fox"), (3, "absent"), (4, ""), (5, "fox -- ran")], "quote_id int, quote string")
+    few, many = grounding.located(quotes, docs), grounding.located(quotes, docs, few=0)
+    assert "hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+    spans = sorted((r.quote_id, r.doc_id, r.evidence) for r in few.collect())
+    assert spans == [(1, 0, "Red” fox\n-- ran over *the* hill. Then it slept"), (2, 0, "one two, three -- red fox"), (2, 2, "one two, three -- red fox"), (5, 0, "fox\n-- ran")]
+    assert sorted(few.collect()) == sorted(many.collect())
