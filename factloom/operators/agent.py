@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from factloom.functions import text as tx
 from factloom.operators import grounding
 
 LINE_END = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -54,11 +55,25 @@ def occurrences(docs: DataFrame, term: str, kind: str) -> DataFrame:
     """
     bare = F.lower(F.regexp_replace(F.col(term), r"^\s+|\s+$", ""))
     pattern = F.concat(F.lit(r"\Q"), F.replace("bare", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    rows = docs.select("doc_id", F.lower("text").alias("low"), bare.alias("bare")).where("length(bare) >= 2 AND contains(low, bare)")
-    parts = rows.select("doc_id", F.length("bare").alias("n"), F.posexplode(F.transform(F.split("low", pattern, -1), F.length)).alias("at", "len"), F.size(F.split("low", pattern, -1)).alias("parts"))
-    before = Window.partitionBy("doc_id").orderBy("at")
-    ended = parts.withColumn("start", (F.sum("len").over(before) + F.col("at") * F.col("n")).cast("int")).where("at < parts - 1")
-    return ended.select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), F.lit(kind).alias("kind"))
+    rows = docs.select("doc_id", F.lower("text").alias("low"), bare.alias("bare"))
+    parts = F.when(F.length("bare") >= 2, F.transform(F.split("low", pattern, -1), F.length))
+    # Outer, as for an inner explode the optimiser tests the array's size first, which would work it out twice.
+    found = rows.select("doc_id", F.length("bare").alias("n"), F.explode_outer(_starts(parts, F.length("bare"))).alias("start")).where("start IS NOT NULL")
+    return found.select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), F.lit(kind).alias("kind"))
+
+
+def _starts(lengths: Column, n: Column) -> Column:
+    """Where the separators of n characters begin between parts of these lengths. Kept in blocks, so that an array that grows isn't copied for each."""
+    none = F.array().cast("array<int>")
+    zero = F.struct(F.lit(0).alias("at"), none.alias("block"), F.array().cast("array<array<int>>").alias("done"))
+
+    def add(acc: Column, start: Column) -> Column:
+        room = F.size(acc["block"]) < 128
+        block = F.when(room, F.array_append(acc["block"], start)).otherwise(F.array(start))
+        return F.struct((start + n).alias("at"), block.alias("block"), F.when(room, acc["done"]).otherwise(F.array_append(acc["done"], acc["block"])).alias("done"))
+
+    step = lambda acc, length: tx.let(acc["at"] + length, lambda start: add(acc, start))
+    return tx.let(lengths, lambda own: F.slice(F.aggregate(own, zero, step, lambda acc: F.flatten(F.array_append(acc["done"], acc["block"]))), F.lit(1), F.size(own) - 1))
 
 
 def trusted(spans: DataFrame, docs: DataFrame) -> DataFrame:
@@ -76,7 +91,8 @@ def highlight(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """
     edge = lambda at, step: spans.select("doc_id", F.col(at).alias("start"), *[F.when(F.col("kind") == k, step).otherwise(0).alias(k) for k in KINDS])
     ends = docs.select("doc_id", F.explode(F.array(F.lit(0), F.length("text"))).alias("start"), *[F.lit(0).alias(k) for k in KINDS])
-    cuts = ends.unionByName(edge("start", 1)).unionByName(edge("end", -1)).groupBy("doc_id", "start").agg(*[F.sum(k).alias(k) for k in KINDS])
+    # Dealt by document once, for the sums as for the windows.
+    cuts = ends.unionByName(edge("start", 1)).unionByName(edge("end", -1)).repartition("doc_id").groupBy("doc_id", "start").agg(*[F.sum(k).alias(k) for k in KINDS])
     by = Window.partitionBy("doc_id").orderBy("start")
     swept = cuts.select("doc_id", "start", F.lead("start").over(by).alias("end"), *[F.sum(k).over(by).alias(k) for k in KINDS]).where(F.col("end").isNotNull())
     return swept.select("doc_id", "start", "end", F.coalesce(*[F.when(F.col(k) > 0, F.lit(k)) for k in KINDS]).alias("kind"))

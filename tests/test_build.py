@@ -121,3 +121,16 @@ def test_documents_stay_where_they_are(spark):
     spans = sorted((r.quote_id, r.doc_id, r.evidence) for r in few.collect())
     assert spans == [(1, 0, "Red” fox\n-- ran over *the* hill. Then it slept"), (2, 0, "one two, three -- red fox"), (2, 2, "one two, three -- red fox"), (5, 0, "fox\n-- ran")]
     assert sorted(few.collect()) == sorted(many.collect())
+
+
+def test_occurrences_without_shuffle(spark):
+    """Places of a term are worked out in the document's own row, also where they fill several blocks."""
+    from factloom.operators import agent
+
+    docs = spark.createDataFrame([(1, "ab.. " * 300 + "x", "AB"), (2, "abab", "ab"), (3, "aaa", "a"), (4, None, "ab"), (5, r"q\E q\E", r" q\E "), (6, "none", "ab")], "doc_id int, text string, term string")
+    found = agent.occurrences(docs, "term", "subject")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    places = {}
+    for r in found.collect():
+        places.setdefault(r.doc_id, []).append((r.start, r.end))
+    assert {k: sorted(v) for k, v in places.items()} == {1: [(5 * i, 5 * i + 2) for i in range(300)], 2: [(0, 2), (2, 4)], 5: [(0, 3), (4, 7)]}
